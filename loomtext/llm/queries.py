@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import mixing, packing, simhash, substring
 from .common import cut, read
 
 
@@ -14,6 +14,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = cut(simhash.fingerprints(read(spark, sf_dir, "documents"), shingle=3, words=1))
     # the bytes are little-endian: the digits are the reversed bytes
@@ -22,8 +30,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op7_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_source_mix, op4_best_fit_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": mixing.oracle()}
