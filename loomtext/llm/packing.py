@@ -152,22 +152,33 @@ class Plan:
         return np.array(sorted(out), np.int64).reshape(-1, 6)
 
 
-def _take(queue: list[list[int]], n: int) -> list[tuple[int, int]]:
-    """The next ``n`` lengths of a queue of [length, count], as runs."""
-    out = []
-    while n:
-        length, have = queue[-1]
-        k = min(n, have)
-        out.append((length, k))
-        n -= k
-        if have == k:
-            queue.pop()
-        else:
-            queue[-1][1] -= k
-    return out
-
+def _substitute(pattern: list[int], times: int, have: np.ndarray, capacity: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Sequences of a pattern of rounded sizes (largest first) with actual lengths in their place, taken from ``have``.
 
-def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.08) -> Plan:
+    A slot takes the largest length at hand up to its rounded size, the last of
+    several the largest that the sequence has room for.
+    """
+    todo = [(times, capacity, 0, [])]
+    while todo:
+        n, free, k, items = todo.pop()
+        if k == len(pattern):
+            yield n, items
+            continue
+        most = free if k and k == len(pattern) - 1 else pattern[k]
+        there = np.flatnonzero(have[: most + 1])
+        if not len(there):
+            if items:
+                yield n, items
+            continue
+        length = int(there[-1])
+        used = min(n, int(have[length]))
+        have[length] -= used
+        if used < n:
+            todo.append((n - used, free, k, items))
+        todo.append((used, free - length, k + 1, [*items, (length, 1)]))
+
+
+def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.3) -> Plan:
     """Which lengths share a sequence, from how often each occurs.
 
     Lengths above ``small`` of the capacity are grouped, the rest fill gaps. The
@@ -182,42 +193,24 @@ def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 6
         plan.add(full, [(capacity, 1)])
         large = large[1:]
     # groups of equal cardinality, largest first; each rounds up to its largest
-    total = sum(v for _, v in large)
-    each = max(1, -(-total // n_groups))
-    queues: list[list[list[int]]] = []
-    room = 0
+    each, need, room = max(1, -(-sum(v for _, v in large) // n_groups)), Counter(), 0
     for length, n in large:
         while n:
             if not room:
-                queues.append([])
-                room = each
+                rounded, room = length, each
             k = min(n, room)
-            queues[-1].append([length, k])
+            need[rounded] += k
             n, room = n - k, room - k
-    if queues:
-        merged: dict[int, list[list[int]]] = {}
-        for q in queues:  # groups that round to the same size are one size
-            merged.setdefault(q[0][0], []).extend(q)
-        sizes = np.array(list(merged), np.int64)
-        groups = [list(reversed(q)) for q in merged.values()]  # taken from the end: the largest first
-        need = np.array([sum(n for _, n in q) for q in groups], np.int64)
-        for pattern, times in sorted(configurations(sizes, need, capacity), key=lambda x: (-x[1], x[0].tolist())):
-            slots = [(_take(groups[i], times)) for i in np.flatnonzero(pattern) for _ in range(pattern[i])]
-            ends = sorted({e for s in slots for e in np.cumsum([n for _, n in s]).tolist()})
-            begin = 0
-            at = [[0, s[0][1]] for s in slots]
-            for end in ends:
-                items = []
-                for s, a in zip(slots, at, strict=True):
-                    while a[1] <= begin:
-                        a[0] += 1
-                        a[1] += s[a[0]][1]
-                    items.append((s[a[0]][0], 1))
-                open_runs[capacity - sum(length for length, _ in items)].append((end - begin, items))
-                begin = end
-        for q in groups:
-            for length, n in q:
-                left[length] += n
+    have = np.zeros(capacity + 1, np.int64)
+    for length, n in large:
+        have[length] = n
+    if need:
+        sizes = np.array(list(need), np.int64)
+        for pattern, times in sorted(configurations(sizes, np.array(list(need.values())), capacity), key=lambda x: (-x[1], x[0].tolist())):
+            for n, items in _substitute(np.repeat(sizes, pattern).tolist(), times, have, capacity):
+                open_runs[capacity - sum(length for length, _ in items)].append((n, items))
+    for length in np.flatnonzero(have).tolist():
+        left[length] = int(have[length])
     # best fit, largest first: a sequence takes all copies it has room for before the next one opens
     for length in sorted(left, reverse=True):
         n = left[length]
@@ -260,7 +253,7 @@ def _ranked(pieces: DataFrame, lanes: int) -> DataFrame:
     return rows.withColumn("own", own).join(bases, ["length", "lane"]).withColumn("rank", F.col("base") + F.col("own")).drop("lane", "own", "base")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, small: float = 0.08, lanes: int = 256) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, small: float = 0.3, lanes: int = 256) -> DataFrame:
     """``pieces`` (a stored table with doc_id, piece, length, ids_crc32) with sequence_id and offset.
 
     Sequences hold at most ``capacity`` tokens, without gaps from 0. At most
