@@ -26,32 +26,84 @@ from .common import cut, id_key, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most; then it starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
+_END_MARKS = b".,;:!?|"
 
 
 class _Encoder:
-    """Token ids of texts, as little-endian bytes. White space never joins tokens, so a word's ids are remembered."""
+    """Token ids of texts, as little-endian bytes.
+
+    The default vocabulary drops white space before it looks for tokens, so the
+    ids of a text are those of its words in turn, and a worker remembers the
+    words it has met. A new word of letters and closing marks is its letters'
+    ids and its marks'. Letters are encoded many words at a time, with a digit,
+    whose one id occurs in no word of letters, between them. A tokenizer of
+    another path gets whole texts.
+    """
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.by_word = path is None
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        if self.by_word:
+            (self.digit,) = self.ids(["0"])[0]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        known, whole, letters, later = self.known, [], {}, []
+        for word in new:
+            core = word.rstrip(_END_MARKS)
+            text = core.decode()
+            low = text if "\u03a3" in text else text.lower()  # a capital sigma's lower case depends on its place
+            if not (text.isalpha() and low.isalpha()):
+                whole.append(word)
+                continue
+            low, marks = low.encode(), word[len(core) :]
+            if low not in known:
+                letters[low] = None
+            if marks and marks not in known:
+                whole.append(marks)
+            later.append((word, low, marks))
+        for word, ids in zip(whole, self.ids([w.decode() for w in whole]), strict=True):
+            known[word] = np.array(ids, "<u4").tobytes()
+        if letters:
+            ids = np.array(self.ids([" 0 ".join(w.decode() for w in letters)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.digit), len(ids)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(letters, ends, strict=True):
+                known[word] = raw[4 * begin : 4 * end]
+                begin = end + 1
+        for word, low, marks in later:
+            known[word] = known[low] + known[marks] if marks else known[low]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(ids, "<u4").tobytes() for ids in self.ids([t.decode() for t in texts])]
         words = [t.split() for t in texts]
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list(set().union(*words).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
+_MET: dict[str | None, _Encoder] = {}
+
+
+def _encoder(path: str | None) -> _Encoder:
+    """The encoder of this worker process, with what it remembers from earlier tasks."""
+    if path not in _MET:
+        _MET[path] = _Encoder(path)
+    return _MET[path]
+
+
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes."""
     at = 0
@@ -71,13 +123,13 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
     """Each text's token ids and ``end_id``, in pieces of ``capacity`` (the last may be shorter): doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
     ``tokenizer`` is the path of a tokenizers file that executors can read; by
-    default that of the installed vocabulary. A null text counts as empty: one
+    default that of the installed vocabulary of word pieces. A null text counts as empty: one
     piece of one token.
     """
     schema = _PIECE.append(pa.field("ids", pa.binary())) if with_ids else _PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _Encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encode, end = _encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in _groups([len(t) for t in texts], 1 << 20):
