@@ -26,8 +26,9 @@ from .common import cut, id_key, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most; then it starts anew.
-_REMEMBERED = 1_000_000
-_END_MARKS = b".,;:!?|"
+_REMEMBERED = 1_200_000
+#: ASCII marks that make one token run after letters (an apostrophe may begin a contraction).
+_END_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Encoder:
@@ -61,12 +62,16 @@ class _Encoder:
         known, whole, letters, later = self.known, [], {}, []
         for word in new:
             core = word.rstrip(_END_MARKS)
-            text = core.decode()
-            low = text if "\u03a3" in text else text.lower()  # a capital sigma's lower case depends on its place
-            if not (text.isalpha() and low.isalpha()):
-                whole.append(word)
-                continue
-            low, marks = low.encode(), word[len(core) :]
+            if core.isalpha():  # ASCII letters
+                low = core.lower()
+            else:
+                text = core.decode()
+                low = text if "\u03a3" in text else text.lower()  # a capital sigma's lower case depends on its place
+                if not (text.isalpha() and low.isalpha()):
+                    whole.append(word)
+                    continue
+                low = low.encode()
+            marks = word[len(core) :]
             if low not in known:
                 letters[low] = None
             if marks and marks not in known:
@@ -87,11 +92,16 @@ class _Encoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [np.array(ids, "<u4").tobytes() for ids in self.ids([t.decode() for t in texts])]
-        words = [t.split() for t in texts]
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        self.learn(list(set().union(*words).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        words = [t.split() for t in texts]
+        found = [list(map(self.known.get, w)) for w in words]
+        gaps = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        self.learn(list({w[k] for w, g in zip(words, gaps, strict=True) for k in g}))
+        for w, f, g in zip(words, found, gaps, strict=True):
+            for k in g:
+                f[k] = self.known[w[k]]
+        return [b"".join(f) for f in found]
 
 
 _MET: dict[str | None, _Encoder] = {}
