@@ -110,6 +110,7 @@ def _slots(quotas: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     before = F.expr(f"slot * {block} - if(slot > short, n_blocks * {block} - source_size, 0)")
     of_block = F.expr(f"if(slot = short, source_size - (n_blocks - 1) * {block}, {block})")
     slot = slot.withColumn("words", F.least(of_block, F.col("words") - before)).where("words > 0")
+    slot = slot.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows make all slots, and permuting is the work
     return slot.select("skey", "pass", _permuted(F.col("slot"), F.col("rounds"), seed).alias("block"), "words", "shard", "slot")
 
 
