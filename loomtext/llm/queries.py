@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substring
+from . import chat, media, mixing, packing, simhash, substring, warc
 from .common import cut, read
 
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op6_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = cut(simhash.fingerprints(read(spark, sf_dir, "documents"), shingle=3, words=1))
     # the bytes are little-endian: the digits are the reversed bytes
@@ -29,9 +33,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(fps).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = chat.turns_of_table(read(spark, sf_dir, "conversations")).unionByName(chat.turns_of_table(extra))
+    return chat.read_back(chat.format_turns(turns))
+
+
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit_pages(pages, warc.rotten(pages))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_source_mix, op4_best_fit_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_source_mix, op4_best_fit_packing, op6_media_column, op7_simhash, op9_chat_format, op10_warc_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.oracle()}
+    return {"op3_source_mix": mixing.oracle(), "op10_warc_audit": warc.oracle()}
