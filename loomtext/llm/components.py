@@ -16,11 +16,13 @@ def _signature(e: DataFrame):
 def _stars(e: DataFrame, centre: str, leaf: str) -> DataFrame:
     """Each ``centre`` with its ``leaf`` and ``m``, the least of the centre and all its leaves.
 
-    The minimum is a partial aggregate, and the join back is one that adaptive
-    execution splits where a hub holds many edges, so no hub has to fit a task.
+    The minimum is a partial aggregate. The join back has a second key, so that
+    both of its sides are dealt anew and adaptive execution may split the
+    partition of a hub with many edges: no hub has to fit a task.
     """
     least = e.groupBy(centre).agg(F.min(leaf).alias("m")).withColumn("m", F.least("m", centre))
-    return e.join(least, centre)
+    hashed = lambda d: d.withColumn("k", F.xxhash64(centre))
+    return hashed(e).join(hashed(least), [centre, "k"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
