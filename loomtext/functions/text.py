@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The pictograph ranges that cleaning removes.
 PICTOGRAPHS = (
@@ -38,13 +39,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """NFKC; nulls stay."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     """All HTML character references, in one pass; nulls stay."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
@@ -137,7 +138,7 @@ def transform_tokens(tokens, lowercase: bool = False, remove_stopwords: bool = F
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed(tokens: pd.Series) -> pd.Series:
     """Porter stems of alphabetic tokens; others stay."""
     from .porter import stem

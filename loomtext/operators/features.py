@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ORTHOGRAPHIC, char_ngrams, orthographic, words
 
-_IN_ORDER = Window.partitionBy("sentence_id").orderBy("token_idx")
+
+def _in_order():
+    return Window.partitionBy("sentence_id").orderBy("token_idx")
 
 
 def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -27,7 +29,7 @@ def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", partiti
 def _names(window: int, ngrams: tuple[int, int] | None):
     """An array of a token's feature names, repeats included."""
     low = F.lower("token")
-    at = {o: low if o == 0 else F.lag(low, -o).over(_IN_ORDER) for o in range(-window, window + 1)}
+    at = {o: low if o == 0 else F.lag(low, -o).over(_in_order()) for o in range(-window, window + 1)}
     out = []
     for o, t in at.items():
         out += [F.concat(F.lit("word="), t), F.concat(F.lit(f"offset={o:+d}:word="), t)]

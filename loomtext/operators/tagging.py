@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_IN_ORDER = Window.partitionBy("sentence_id").orderBy("token_idx")
+
+def _in_order():
+    return Window.partitionBy("sentence_id").orderBy("token_idx")
 
 
 def base_category(tag) -> Column:
@@ -30,7 +32,7 @@ def unflatten(rows: DataFrame, value: str) -> DataFrame:
 def categories_to_bio(rows: DataFrame, category: str = "category", outside: str = "O", out: str = "tag") -> DataFrame:
     """I- after the same category, B- otherwise; the outside label passes."""
     c = F.col(category)
-    before = F.lag(c).over(_IN_ORDER)
+    before = F.lag(c).over(_in_order())
     tag = F.when(c == outside, c).when(c.eqNullSafe(before), F.concat(F.lit("I-"), c)).otherwise(F.concat(F.lit("B-"), c))
     return rows.withColumn(out, tag)
 
@@ -44,8 +46,8 @@ def extract_spans(rows: DataFrame, tag: str = "tag") -> DataFrame:
     """(sentence_id, start, end, label) of runs: a labelled token starts one unless it is I- of the label before it; ends are excluded."""
     t = F.col(tag)
     label = F.when(t != "O", base_category(t))
-    begins = label.isNotNull() & ~(t.startswith("I-") & label.eqNullSafe(F.lag("label").over(_IN_ORDER)))
-    marked = rows.withColumn("label", label).withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(_IN_ORDER))
+    begins = label.isNotNull() & ~(t.startswith("I-") & label.eqNullSafe(F.lag("label").over(_in_order())))
+    marked = rows.withColumn("label", label).withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(_in_order()))
     spans = marked.where("label is not null").groupBy("sentence_id", "island", "label").agg(F.min("token_idx").alias("start"), (F.max("token_idx") + 1).alias("end"))
     return spans.select("sentence_id", "start", "end", "label")
 
@@ -54,7 +56,7 @@ def bio_violations(rows: DataFrame, tag: str = "tag") -> DataFrame:
     """(sentence_id, token_idx, error) of tags that break the grammar."""
     t = F.col(tag)
     label = F.when(t.contains("-"), base_category(t))
-    before = F.lag(label).over(_IN_ORDER)
+    before = F.lag(label).over(_in_order())
     error = F.when(t == "O", None).when(~t.contains("-"), "malformed tag").when(~t.startswith("B-") & ~t.startswith("I-"), "malformed prefix").when(t.startswith("I-") & ~label.eqNullSafe(before), "orphan")
     return rows.select("sentence_id", "token_idx", error.alias("error")).where("error is not null")
 
