@@ -48,10 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
-    """Shuffle partitions for ``df``: the session's number, more where the input is larger than ``each`` bytes a partition."""
+    """Shuffle partitions for ``df``: the session's number, more where the input is known to be larger than ``each`` bytes a partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(most, min(-(-size // each), 100_000))
+    return most if size >= 1 << 53 else max(most, min(-(-size // each), 100_000))  # beyond that, Spark doesn't know
 
 
 def id_key(name: str = "doc_id"):
