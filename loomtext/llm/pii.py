@@ -194,7 +194,7 @@ def sanitised(text: str, spans: list, added: list) -> str:
 def sanitised_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with sanitised texts and their lengths."""
     spans = protected_spans(docs, **how).where("size(spans) > 0").groupBy(id_key().alias("doc"), "th").agg(F.first("spans").alias("spans"), F.first("added").alias("added"))
-    keyed = docs.select("*", id_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    keyed = docs.select("doc_id", "text", "lang", "source", id_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = keyed.join(spans, ["doc", "th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
