@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences of 2048."""
-    return packing.pack_documents(docs, capacity=2048)
+    """Places of all token pieces in sequences of 2048. Workers that ran the other stages too keep few words in mind."""
+    return packing.pack_documents(docs, capacity=2048, remember=100_000)
 
 
 STAGES = [

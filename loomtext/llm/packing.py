@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_key, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers at most; then it starts anew.
+#: Words whose ids a worker remembers before it starts anew: about 150 bytes each, which it keeps between tasks.
 _REMEMBERED = 1_200_000
 #: ASCII marks that make one token run after letters (an apostrophe may begin a contraction).
 _END_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,7 +51,7 @@ class _Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, _REMEMBERED
         if self.by_word:
             (self.digit,) = self.ids(["0"])[0]
 
@@ -92,7 +92,7 @@ class _Encoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [np.array(ids, "<u4").tobytes() for ids in self.ids([t.decode() for t in texts])]
-        if len(self.known) > _REMEMBERED:
+        if len(self.known) > self.most:
             self.known.clear()
         words = [t.split() for t in texts]
         found = [list(map(self.known.get, w)) for w in words]
@@ -129,7 +129,7 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, remember: int = _REMEMBERED) -> DataFrame:
     """Each text's token ids and ``end_id``, in pieces of ``capacity`` (the last may be shorter): doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
     ``tokenizer`` is the path of a tokenizers file that executors can read; by
@@ -140,6 +140,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encode.most = remember
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in _groups([len(t) for t in texts], 1 << 20):
@@ -342,9 +343,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, sma
     return ranked.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, remember: int = _REMEMBERED, **how) -> DataFrame:
     """Token pieces of all ``docs`` (doc_id, text) and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts count as empty (one token); null ids are kept; other columns aren't read.
+    Null texts count as empty (one token); null ids are kept; other columns
+    aren't read. ``remember`` bounds the words that a worker keeps in mind: fewer
+    take less memory and more time.
     """
-    return pack_pieces(cut(token_pieces(docs, capacity, tokenizer)), capacity, **how)
+    return pack_pieces(cut(token_pieces(docs, capacity, tokenizer, remember=remember)), capacity, **how)
