@@ -137,7 +137,7 @@ def _dealt(kind: int, part: np.ndarray, make) -> list[tuple]:
     """One blob for each part; ``make`` gets the positions of its rows."""
     o = np.argsort(part, kind="stable")
     s = _runs([part[o]])
-    return [(int(part[o[i]]), kind, make(o[i:j])) for i, j in zip(s, np.append(s[1:], len(o)), strict=True)]
+    return [(int(part[o[i]]), kind, make(o[i:j])) for i, j in zip(s, np.append(s[1:], len(o))[: len(s)], strict=True)]
 
 
 def _answers(doc, tag, at, n: int) -> list[tuple]:
@@ -246,7 +246,7 @@ def _apply(window: int, with_text: bool):
         o = np.lexsort((at, tag, doc))
         doc, tag, at = doc[o], tag[o], at[o]
         s = _runs([doc, tag])
-        places = {(int(doc[i]), int(tag[i])): (i, j) for i, j in zip(s, np.append(s[1:], len(doc)), strict=True)}
+        places = {(int(doc[i]), int(tag[i])): (i, j) for i, j in zip(s, np.append(s[1:], len(doc))[: len(s)], strict=True)}
         for body in packed:
             ids, tags, null, size, data = unpack(body, np.int64, np.uint16, np.bool_, np.int64, np.uint8)
             rows, data, begin = [], data.tobytes(), 0
