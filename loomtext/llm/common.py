@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ NULL_ID = (1 << 63) - 1
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -47,6 +52,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _trim() -> None:
+    """Gives what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``df.mapInArrow(run, kinds)`` in bounded memory, for rows with whole texts.
+
+    Batches have about ``batch_bytes`` at most, unless the session has a bound of
+    its own (this one stays set for the session, since plans read it when they
+    run). Workers live on between tasks; they return freed memory after each.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) is None:
+        conf.set(_BATCH_BYTES, str(batch_bytes))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(tidy, kinds)
+
+
 def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, more where the input is known to be larger than ``each`` bytes a partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

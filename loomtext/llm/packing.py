@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_key, table
+from .common import cut, id_key, map_in_arrow, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers before it starts anew: about 150 bytes each, which it keeps between tasks.
@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
                 yield table(rows, schema)
 
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_in_arrow, run, kinds)
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -340,7 +340,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, sma
 
     ranked = _ranked(pieces, lanes).select(*pieces.columns, "rank")
     kinds = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes[:-1])
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
+    return ranked.transform(map_in_arrow, run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, remember: int = _REMEMBERED, **how) -> DataFrame:

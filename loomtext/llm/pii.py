@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, stored
+from .common import id_key, map_in_arrow, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,7 +106,7 @@ def find(docs: DataFrame, width: int = 80) -> DataFrame:
                 near.append(_context(text or "", found, width) if found else [])
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], ["doc_id", "th", "spans", "near"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, _FOUND)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").transform(map_in_arrow, run, _FOUND)
 
 
 def _term_documents(docs: DataFrame, terms: DataFrame, most_broadcast: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _term_documents(docs: DataFrame, terms: DataFrame, most_broadcast: int) -> D
                     yield flush()
         yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "term string, n bigint")
+    counts = docs.select("text").transform(map_in_arrow, run, "term string, n bigint")
     return counts.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
@@ -204,7 +204,7 @@ def sanitised_documents(docs: DataFrame, **how) -> DataFrame:
             sizes = [None if t is None else len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "lang", "source", "text", "n_chars"])
 
-    out = rows.select("doc_id", "lang", "source", "text", "spans", "added").mapInArrow(run, "doc_id bigint, lang string, source string, text string, n_chars bigint")
+    out = rows.select("doc_id", "lang", "source", "text", "spans", "added").transform(map_in_arrow, run, "doc_id bigint, lang string, source string, text string, n_chars bigint")
     return out.select("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_in_arrow, table
 
 THRESHOLD = 0.7
 _LEVEL, _CLIP = 3, 4.0
@@ -150,5 +150,5 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*names, "score"])
 
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", score double")
+    out = rows.transform(map_in_arrow, run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", score double")
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

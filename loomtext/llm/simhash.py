@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, mix64, partitions_for, stored, table
+from .common import id_key, map_in_arrow, mix64, partitions_for, stored, table
 from .components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.binary())], [*names, "fp"])
 
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", fp binary")
+    out = rows.transform(map_in_arrow, run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", fp binary")
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "fp")
 
 
@@ -174,8 +174,8 @@ def ball_edges(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks: int
             roots = [(i, r) for i in range(len(fp)) if (r := forest.root(i)) != i]
             yield table([(fp[i].tobytes(), fp[r].tobytes()) for i, r in roots], _EDGE)
 
-    dealt = fps.select("fp").mapInArrow(deal, "bucket int, flip binary, fps binary")
-    return dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(meet, "a binary, b binary")
+    dealt = fps.select("fp").transform(map_in_arrow, deal, "bucket int, flip binary, fps binary")
+    return dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).transform(map_in_arrow, meet, "a binary, b binary")
 
 
 def near_duplicates(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks: int = 1, most: int = 2) -> DataFrame:
