@@ -37,9 +37,14 @@ def _hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter([h(line[a:b], 42) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int, words: int) -> bytes:
-    """``words`` 64-bit fingerprints, little-endian; the first is of the hashes themselves, the rest of hashes mixed from them."""
+def fingerprint(text: bytes, shingle: int, words: int, repeats: bool = True) -> bytes:
+    """``words`` 64-bit fingerprints, little-endian; the first is of the hashes themselves, the rest of hashes mixed from them.
+
+    Without ``repeats`` each different shingle counts once, as in a Jaccard similarity.
+    """
     h = _hashes(text, shingle)
+    if not repeats:
+        h = np.unique(h)
     out = np.zeros(words, np.uint64)
     lane = 256 * np.arange(8)
     for w in range(words if len(h) else 0):
@@ -52,14 +57,14 @@ def fingerprint(text: bytes, shingle: int, words: int) -> bytes:
     return out.tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",), repeats: bool = True) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``fp``, the SimHash of the text (A-Z lower-cased; null: no words, all bits zero)."""
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t or b"", shingle, words) for t in b.column(len(names)).cast(pa.binary()).to_pylist()]
+            fp = [fingerprint(t or b"", shingle, words, repeats) for t in b.column(len(names)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.binary())], [*names, "fp"])
 
     kinds = dict(rows.dtypes)
@@ -199,14 +204,16 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_
     """``docs`` without near copies: of each group of linked fingerprints the row of the least doc_id stays.
 
     By default for Jaccard similarities of 0.8 or more between sets of five-word
-    shingles: fingerprints have 256 bits, of which similar texts at the bound
-    differ in 39 on average, and link from 48 differing bits down if one of ten
-    blocks of 24 bits differs in two at most. At the bound about 19 of 20 pairs
-    link, from 0.85 on 99 of 100. Nulls in doc_id sort last; of repeated rows one stays; texts without
-    words are one group. All columns are kept.
+    shingles, so a shingle counts once however often a text repeats it.
+    Fingerprints have 256 bits, of which similar texts at the bound differ in 39
+    on average, and link from 48 differing bits down if one of ten blocks of 24
+    bits differs in two at most. At the bound about 19 of 20 pairs link, from
+    0.85 on 99 of 100; so do some pairs below it. Nulls in doc_id
+    sort last; of repeated rows one stays; texts without words are one group.
+    All columns are kept.
     """
     keyed = docs.withColumn("loomtext_doc", id_key()).withColumn("loomtext_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    fps = fingerprints(keyed, shingle, words, keep=("doc_id", "loomtext_doc", "loomtext_th"))
+    fps = fingerprints(keyed, shingle, words, keep=("doc_id", "loomtext_doc", "loomtext_th"), repeats=False)
     groups = near_duplicates(stored(fps), words, block_bits, blocks, most)
     key = ["loomtext_doc", "loomtext_th"]
     stay = groups.groupBy("label").agg(F.min(F.struct(*key)).alias("k")).select("k.*")

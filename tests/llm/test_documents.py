@@ -105,6 +105,17 @@ def test_simhash(docs, rows):
     assert sorted((str(r.doc_id), int.from_bytes(r.fp, "little"), str(r.component_id)) for r in got) == sorted((str(x[0]), f, str(ids.get(up[i]))) for i, (x, f) in enumerate(zip(rows, fp, strict=True)))
 
 
+def test_repeated_line_does_not_make_texts_alike():
+    line = " one line that a text repeats"
+    a, b = (" ".join(f"{w}{i}" for i in range(400)).encode() + 900 * line.encode() for w in "xy")
+
+    def apart(repeats):
+        x, y = (np.frombuffer(simhash.fingerprint(t, 5, 4, repeats), np.uint64) for t in (a, b))
+        return np.bitwise_count(x ^ y).sum()
+
+    assert apart(True) <= 48 < apart(False)
+
+
 def test_ball_edges_find_all_links(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 60, dtype=np.uint64)
