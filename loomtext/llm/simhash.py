@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import id_key, map_in_arrow, mix64, partitions_for, stored, table
 from .components import components
+from .shingles import verified
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -43,8 +44,10 @@ def fingerprint(text: bytes, shingle: int, words: int, repeats: bool = True) ->
     Without ``repeats`` each different shingle counts once, as in a Jaccard similarity.
     """
     h = _hashes(text, shingle)
-    if not repeats:
-        h = np.unique(h)
+    return _sum(h if repeats else np.unique(h), words)
+
+
+def _sum(h: np.ndarray, words: int) -> bytes:
     out = np.zeros(words, np.uint64)
     lane = 256 * np.arange(8)
     for w in range(words if len(h) else 0):
@@ -200,21 +203,50 @@ def near_duplicates(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks
     return fps.join(of.join(least, "label").select("fp", "component_id", "label"), "fp")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_bits: int = 24, blocks: int = 10, most: int = 48) -> DataFrame:
-    """``docs`` without near copies: of each group of linked fingerprints the row of the least doc_id stays.
+def _sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc, th, c, h, fp) of ``docs`` (doc, th, text): the shingle set's name, the set, its fingerprint. A task gives a set and fingerprint once, then nulls."""
 
-    By default for Jaccard similarities of 0.8 or more between sets of five-word
-    shingles, so a shingle counts once however often a text repeats it.
-    Fingerprints have 256 bits, of which similar texts at the bound differ in 39
-    on average, and link from 48 differing bits down if one of ten blocks of 24
-    bits differs in two at most. At the bound about 19 of 20 pairs link, from
-    0.85 on 99 of 100; so do some pairs below it. Nulls in doc_id
-    sort last; of repeated rows one stays; texts without words are one group.
-    All columns are kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            names, sets, fps = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                h = np.unique(_hashes(t or b"", shingle))
+                name = xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63)
+                new = name not in seen
+                seen.add(name)
+                names.append(name)
+                sets.append(h.tobytes() if new else None)
+                fps.append(_sum(h, words) if new else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(sets, pa.binary()), pa.array(fps, pa.binary())], ["doc", "th", "c", "h", "fp"])
+
+    return docs.transform(map_in_arrow, run, "doc bigint, th bigint, c bigint, h binary, fp binary")
+
+
+def _candidates(sets: DataFrame, words: int, block_bits: int, blocks: int, most: int) -> DataFrame:
+    """Pairs (a, b) of names of ``sets`` (c, fp) whose fingerprints link or are the same."""
+    first = stored(sets.groupBy("fp").agg(F.min("c").alias("first")))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"c_{end}"))
+    links = ball_edges(first, words, block_bits, blocks, most).distinct().join(of("a"), "a").join(of("b"), "b")
+    same = sets.select("c", "fp").join(first, "fp").where("c <> first")
+    return links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).union(same.select("c", "first"))
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_bits: int = 24, blocks: int = 10, most: int = 48, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group of linked texts the row of the least doc_id stays.
+
+    Texts link if the Jaccard similarity of their sets of five-word shingles is
+    ``similarity`` or more, so a shingle counts once however often a text
+    repeats it. Fingerprints of 256 bits only propose pairs: those that differ in
+    48 bits at most, and in two at most of one of ten blocks of 24; each pair is
+    then compared by its sets. Nulls in doc_id sort last; of repeated rows one
+    stays; texts without words are one group. All columns are kept.
     """
     keyed = docs.withColumn("loomtext_doc", id_key()).withColumn("loomtext_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    fps = fingerprints(keyed, shingle, words, keep=("doc_id", "loomtext_doc", "loomtext_th"), repeats=False)
-    groups = near_duplicates(stored(fps), words, block_bits, blocks, most)
+    rows = stored(_sets(keyed.select("loomtext_doc", "loomtext_th", "text"), shingle, words))
+    sets = rows.where("h is not null")
+    links = verified(_candidates(sets, words, block_bits, blocks, most), sets, similarity)
+    groups = rows.join(components(links), F.col("c") == F.col("node"), "left").select("doc", "th", F.coalesce("label", "c").alias("label"))
+    stay = groups.groupBy("label").agg(F.min(F.struct(F.col("doc").alias("loomtext_doc"), F.col("th").alias("loomtext_th"))).alias("k")).select("k.*")
     key = ["loomtext_doc", "loomtext_th"]
-    stay = groups.groupBy("label").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
     return keyed.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -282,6 +282,33 @@ def test_access_units(docs):
     assert all(r.random_access for r in units if r.unit == 0) and not any(r.breaks for r in units)
 
 
+def _shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _kept(rows):
+    """Least ids of the groups that similarities of 0.8 or more link, by brute force."""
+    sets = [_shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for _ in range(len(rows)):
+        for i in range(len(rows)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    return sorted({min(rows[j][0] for j in range(len(rows)) if up[j] == up[i]) for i in range(len(rows))})
+
+
+def test_distinct_documents_verifies_similarity(spark):
+    """Pairs just below 0.8, most of which their fingerprints link, stay."""
+    rows = []
+    for i in range(30):
+        w = [f"w{i}x{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:88] + [f"v{k}" for k in range(16)]))]  # 84 of 116 shingles
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == _kept(rows) == list(range(60))
+
+
 _PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
