@@ -1,4 +1,4 @@
-"""Shingle sets: exact Jaccard similarities of candidate pairs.
+"""Shingle sets: exact Jaccard similarities of candidate pairs, and an exact search for pairs that are alike.
 
 A set is the sorted array of its shingles' 64-bit hashes, named by the hash of
 that array (column ``c``); texts of equal sets are one class.
@@ -6,14 +6,16 @@ that array (column ``c``); texts of equal sets are one class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_in_arrow, stored
+from .common import map_in_arrow, mix64, partitions_for, stored, table
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -37,3 +39,118 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return stored(both.select("a", "b", "x", "y").transform(map_in_arrow, run, "a bigint, b bigint"))
+
+
+_PLACE = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4"), ("p", "<i4")])
+
+
+def _frequent(sets: DataFrame, rows: int = 16_384, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample holds more than once, sorted, and how often. They only order the shingles of a set: any table gives the same pairs."""
+    sample = sets.where(F.pmod("c", F.lit(max(1, sets.count() // rows))) == 0).select("h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64))], ["s"])
+
+    counts = sample.transform(map_in_arrow, run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "s").limit(most).toArrow()
+    s, n = (np.asarray(counts.column(i).to_numpy()) for i in (0, 1))
+    s = s.astype(np.int64).view(np.uint64)
+    o = np.argsort(s)
+    return s[o], n.astype(np.int64)[o]
+
+
+def _prefix(h: np.ndarray, table_: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set alike shares one of them."""
+    keys, counts = table_
+    n = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        n = np.where(keys[at] == h, counts[at], 0)
+    return h[np.lexsort((h, n))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def shared_rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """(h, c, n, p): sets of n shingles that share the rare shingle h, their p-th in order, with another set (prefix filtering).
+
+    Two sets that are alike share at least ``similarity`` of the larger one, so
+    the first of their shared shingles, in an order common to all sets, is among
+    the first n - ceil(similarity * n) + 1 of both.
+    """
+    spark, n = sets.sparkSession, partitions_for(sets)
+    order = spark.sparkContext.broadcast(_frequent(sets))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = []
+            for c, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                first = _prefix(h, order.value, similarity) if len(h) else h
+                x = np.empty(len(first), _PLACE)
+                x["h"], x["c"], x["n"], x["p"] = first, c, len(h), np.arange(len(first))
+                places.append(x)
+            if not places:
+                continue
+            x = np.concatenate(places)
+            part = (mix64(x["h"]) % np.uint64(n)).astype(np.int64)
+            o = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[o], prepend=-1))
+            yield table([(int(part[i[0]]), x[i].tobytes()) for i in np.split(o, cuts[1:]) if len(i)], pa.schema([("part", pa.int32()), ("x", pa.binary())]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [blob for b in batches for blob in b.column(1).to_pylist()]
+        x = np.frombuffer(b"".join(held), _PLACE)
+        del held
+        x = x[np.lexsort((x["c"], x["h"]))]
+        x = x[np.append(True, (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1]))] if len(x) else x
+        _, which, size = np.unique(x["h"], return_inverse=True, return_counts=True)
+        x = x[size[which] > 1] if len(x) else x
+        for i in range(0, len(x), 1 << 16):
+            y = x[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(y["h"].copy().view(np.int64)), *(pa.array(y[f].copy()) for f in ("c", "n", "p"))], ["h", "c", "n", "p"])
+
+    dealt = sets.select("c", "h").transform(map_in_arrow, deal, "part int, x binary")
+    return dealt.repartitionById(n, F.col("part")).transform(map_in_arrow, meet, "h bigint, c bigint, n int, p int")
+
+
+def unlinked(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``shared`` sets in different components (``labels``: node, label) that their sizes and places let be alike."""
+    rows = shared.join(labels, F.col("c") == F.col("node"), "left").select("h", "c", "n", "p", F.coalesce("label", "c").alias("label"))
+
+    def pairs(c, n, p, label) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        o = np.argsort(n, kind="stable")
+        c, n, p, label = c[o], n[o], p[o], label[o]
+        last = np.searchsorted(n, n / similarity + 1e-6, side="right")
+        for i in range(len(c) - 1):
+            j = np.arange(i + 1, last[i])
+            need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+            j = j[(label[j] != label[i]) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= need)]
+            if len(j):
+                yield np.full(len(j), c[i]), c[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        held, a, b = None, [], []
+        for batch in chain(batches, [None]):
+            x = held
+            if batch is not None:
+                y = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+                x = y if held is None else [np.concatenate(z) for z in zip(held, y, strict=True)]
+            if x is None or not len(x[0]):
+                continue
+            cuts = np.flatnonzero(np.diff(x[0])) + 1
+            ends = [0, *cuts.tolist(), *([len(x[0])] if batch is None else [])]
+            for lo, hi in zip(ends, ends[1:]):
+                for c, d in pairs(*(z[lo:hi] for z in x[1:])):
+                    a.append(c)
+                    b.append(d)
+                    if len(a) > 10_000 or len(c) > 100_000:
+                        yield out(a, b)
+                        a, b = [], []
+            held = [z[ends[-1] :] for z in x]
+        if a:
+            yield out(a, b)
+
+    return rows.repartition("h").sortWithinPartitions("h").transform(map_in_arrow, run, "a bigint, b bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import id_key, map_in_arrow, mix64, partitions_for, stored, table
 from .components import components
-from .shingles import verified
+from .shingles import shared_rare, unlinked, verified
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -237,15 +237,17 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_
 
     Texts link if the Jaccard similarity of their sets of five-word shingles is
     ``similarity`` or more, so a shingle counts once however often a text
-    repeats it. Fingerprints of 256 bits only propose pairs: those that differ in
-    48 bits at most, and in two at most of one of ten blocks of 24; each pair is
-    then compared by its sets. Nulls in doc_id sort last; of repeated rows one
+    repeats it. Each pair is compared by its sets. Fingerprints of 256 bits propose
+    the first ones: those that differ in 48 bits at most, and in two at most of one of
+    ten blocks of 24. An exact search (prefix filtering) then proposes every
+    pair that may be similar enough and isn't in one group yet, so none is missed. Nulls in doc_id sort last; of repeated rows one
     stays; texts without words are one group. All columns are kept.
     """
     keyed = docs.withColumn("loomtext_doc", id_key()).withColumn("loomtext_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = stored(_sets(keyed.select("loomtext_doc", "loomtext_th", "text"), shingle, words))
     sets = rows.where("h is not null")
     links = verified(_candidates(sets, words, block_bits, blocks, most), sets, similarity)
+    links = links.union(verified(unlinked(shared_rare(sets, similarity), components(links), similarity), sets, similarity))
     groups = rows.join(components(links), F.col("c") == F.col("node"), "left").select("doc", "th", F.coalesce("label", "c").alias("label"))
     stay = groups.groupBy("label").agg(F.min(F.struct(F.col("doc").alias("loomtext_doc"), F.col("th").alias("loomtext_th"))).alias("k")).select("k.*")
     key = ["loomtext_doc", "loomtext_th"]

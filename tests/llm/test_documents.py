@@ -309,6 +309,17 @@ def test_distinct_documents_verifies_similarity(spark):
     assert sorted(r.doc_id for r in got.collect()) == _kept(rows) == list(range(60))
 
 
+def test_distinct_documents_finds_short_texts(spark):
+    """Texts of 8 words and the same with one more at an end: 4 of 5 shingles; of 11 and 12 words: 7 of 8; and a group that only chains hold together."""
+    rows = []
+    for i in range(40):
+        w = [f"w{i}x{k}" for k in range(20)]
+        rows += [(4 * i, " ".join(w[:8])), (4 * i + 1, " ".join(w[:9])), (4 * i + 2, "a " + " ".join(w[9:])), (4 * i + 3, " ".join(w[9:]))]
+    rows += [(1000 + i, " ".join(f"z{k}" for k in range(i, i + 40))) for i in range(12)]
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == _kept(rows) == [x for i in range(40) for x in (4 * i, 4 * i + 2)] + [1000]
+
+
 _PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
