@@ -1,10 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation around them.
 
-Patterns find the protected entities. Which terms near an entity would give it
+Patterns find the protected entities. Which terms of an entity's documents would give it
 away is estimated from the corpus: a term discloses an entity if their pointwise
 mutual information, over documents, is a large part of the entity's information
 content. Terms over the upper threshold are removed, over the lower one
-generalised, wherever they stand near that entity.
+generalised, wherever they stand in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -74,37 +74,37 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{hashlib.blake2b(plain.encode(), digest_size=12).hexdigest()}"
 
 
-def _context(text: str, spans: list[tuple[str, int, int]], width: int) -> list[dict]:
-    """The terms that lie within ``width`` code points of each entity and outside all spans."""
-    out = []
-    for kind, start, end in spans:
-        name = _entity(kind, text[start:end])
-        lo, hi = max(0, start - width), min(len(text), end + width)
-        while lo > 0 and start - lo < 2 * width and text[lo - 1].isalpha():
-            lo -= 1
-        while hi < len(text) and hi - end < 2 * width and text[hi].isalpha():
-            hi += 1
-        terms = [m for m in _TERM.finditer(text, lo, hi) if not any(a < m.end() and m.start() < b for _, a, b in spans if a < hi and b > lo)]
-        out.append({"entity": name, "terms": [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in terms]})
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """The terms of a text that lie outside all spans."""
+    out, rest = [], sorted((a, b) for _, a, b in spans)
+    i, last = 0, -1
+    for m in _TERM.finditer(text):
+        while i < len(rest) and rest[i][0] < m.end():
+            last = max(last, rest[i][1])
+            i += 1
+        if last <= m.start():
+            out.append({"term": m[0].lower(), "start": m.start(), "end": m.end()})
     return out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
-_FOUND = "doc_id bigint, th bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:string,terms:array<struct<term:string,start:bigint,end:bigint>>>>"
+_PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_FOUND = "doc_id bigint, th bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, entities array<string>, terms array<struct<term:string,start:bigint,end:bigint>>"
 
 
-def find(docs: DataFrame, width: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, th (hash of the text), spans by pattern, and near: each entity with the terms around it."""
+def find(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, th (hash of the text), spans by pattern, the entities, and, if there are any, all terms of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, near = [], []
+            spans, entities, terms = [], [], []
             for text in b.column(2).to_pylist():
                 found = base_spans(text or "")
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-                near.append(_context(text or "", found, width) if found else [])
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], ["doc_id", "th", "spans", "near"])
+                entities.append(sorted({_entity(kind, text[x:y]) for kind, x, y in found}))
+                terms.append(_terms(text, found) if found else [])
+            columns = [pa.array(spans, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(_PLACE))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["doc_id", "th", "spans", "entities", "terms"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").transform(map_in_arrow, run, _FOUND)
 
@@ -142,14 +142,14 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remov
     """(entity, term, disclosure, action) of terms that give entities away.
 
     disclosure = PMI(term, entity) / IC(entity) with probabilities over all
-    documents; a pair must occur in ``min_texts`` different texts, so that copies
+    documents, which hold a pair wherever its parts stand; a pair must occur in ``min_texts`` different texts, so that copies
     are no evidence. A pair's, a term's and an entity's documents are counted
     over the whole corpus.
     """
     n = found.count()
-    near = found.select(id_key().alias("doc"), "th", F.explode("near").alias("x")).select("doc", "th", "x.entity", "x.terms")
+    near = found.select(id_key().alias("doc"), "th", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms"))
     entities = near.groupBy("entity").agg(F.count_distinct("doc", "th").alias("n_entity"), F.approx_count_distinct("th").alias("texts")).where(F.col("texts") >= 2)
-    pairs = near.join(entities.select("entity"), "entity", "left_semi").select("doc", "th", "entity", F.explode("terms.term").alias("term")).distinct()
+    pairs = near.join(entities.select("entity"), "entity", "left_semi").dropDuplicates(["doc", "th", "entity"]).select("th", "entity", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_texts)
     pairs = stored(pairs)
     terms = _term_documents(docs, pairs.select("term").distinct(), most_broadcast)
@@ -161,21 +161,22 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remov
 
 def _added(found: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc, th, added): the spans of disclosing terms, in order; a place that several rules name is removed if one of them says so."""
-    near = found.select(id_key().alias("doc"), "th", F.explode("near").alias("x")).select("doc", "th", "x.entity", F.explode("x.terms").alias("t"))
+    near = found.select(id_key().alias("doc"), "th", F.explode("entities").alias("entity"), "terms").join(rules.select("entity").distinct(), "entity", "left_semi")
+    near = near.select("doc", "th", "entity", F.explode("terms").alias("t"))
     hits = near.select("doc", "th", "entity", "t.term", "t.start", "t.end").join(rules, ["entity", "term"])
     places = hits.groupBy("doc", "th", "start", "end").agg(F.max("action").alias("action"))
     return places.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
 
 
-def protected_spans(docs: DataFrame, width: int = 80, **how) -> DataFrame:
+def protected_spans(docs: DataFrame, **how) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, th, spans by pattern, and added: terms to remove or generalise (start, end, action).
 
     A null text counts as empty. Rows are told apart by doc_id and text; repeated
     rows have the same spans, null ids come back null. An empty table gives an
     empty result; other columns aren't read.
     """
-    found = stored(find(docs, width))
-    rules = disclosing(docs, found, **how)
+    found = stored(find(docs))
+    rules = stored(disclosing(docs, found, **how))
     rows = found.select(id_key().alias("doc"), "doc_id", "th", "spans").join(_added(found, rules), ["doc", "th"], "left")
     return rows.select("doc_id", "th", "spans", F.coalesce("added", F.expr("array()").cast("array<struct<start:bigint,end:bigint,action:string>>")).alias("added"))
 

@@ -379,6 +379,17 @@ def test_pii_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0].text and "quorvex" not in clean[0].text and clean[10].text == text[10] and clean[0].n_chars == len(clean[0].text)
 
 
+def test_pii_disclosing_terms_far_away(spark):
+    """Terms count, and are marked, wherever they stand in a document of the entity."""
+    far = " ".join(["filler"] * 100)
+    rows = [(i, f"quorvex {far} jo@example.com {far} Quorvex {i}") for i in range(6)] + [(i, far) for i in range(10, 200)]
+    spans = {x.doc_id: x for x in pii.protected_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in range(6):
+        assert [text[i][a.start : a.end] for a in spans[i].added if a.action == "removed"] == ["quorvex", "Quorvex"]
+    assert not spans[10].added
+
+
 def test_quality(spark):
     r = random.Random(5)
     good = lambda: " ".join(r.choice(["the", "river", "runs", "past", "old", "stone", "walls", "and", "quiet", "towns"]) for _ in range(80)) + "."
