@@ -519,7 +519,7 @@ def corpus_errors(spark, d):
 # --- the whole job
 
 
-def _job(spark, total: int = 1200, max_iter: int = 40, chars: bool = True):
+def _job(spark, total: int = 1200, max_iter: int = 600, chars: bool = True):
     _, tokens = training.labelled_corpus(spark, total)
     return training.train_configuration(tokens, chars, max_iter=max_iter), tokens
 

@@ -217,3 +217,12 @@ def test_oracle(spark, name):
     assert sorted(got.columns) == names
     got, want = (x[names].sort_values(names).reset_index(drop=True) for x in (got, want))
     assert len(got) == len(want) and all((got[c] == want[c]).all() for c in names)
+
+
+def test_job_trains_to_the_end(spark, monkeypatch):
+    """The registered queries take the operator's own number of steps."""
+    asked = {}
+    monkeypatch.setattr(training, "labelled_corpus", lambda *a, **k: (None, None))
+    monkeypatch.setattr(training, "train_configuration", lambda tokens, chars, **how: asked.update(how))
+    own._job(spark)
+    assert asked.get("max_iter", BinaryLogisticRegression().max_iter) == BinaryLogisticRegression().max_iter == 600
