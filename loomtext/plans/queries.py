@@ -544,5 +544,5 @@ def training_report(spark, d):
 
 @query()
 def library_comparison(spark, d):
-    fitted, tokens = _job(spark, chars=False)
+    fitted, tokens = _job(spark)
     return training.library_comparison(spark, fitted, tokens)

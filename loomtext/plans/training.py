@@ -55,16 +55,34 @@ def breakdown(predicted: DataFrame, split: str = "test") -> dict[str, DataFrame]
 
 
 def library_comparison(spark: SparkSession, fitted: dict, tokens: DataFrame) -> DataFrame:
-    """accuracy and f1 of the gate and of Spark ML's logistic regression on the same test rows, and their differences."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """accuracy and f1 of both models and of Spark ML's on the same test rows, and their differences.
+
+    The gate is scored by the f1 of PII; naive Bayes, on the rows that are PII,
+    by the mean over categories. Spark ML's naive Bayes smooths priors too.
+    """
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     n = fitted["n_columns"]
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.map_from_arrays("columns", "values")[i], F.lit(0.0)))
-    rows = fitted["rows"].select(*KEY, "split", F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"))
+    vector = F.udf(lambda columns, values: Vectors.sparse(n, columns, values), VectorUDT())
+    rows = fitted["rows"].select(*KEY, "split", F.col("label").cast("double").alias("label"), vector("columns", "values").alias("features"))
     model = LogisticRegression(regParam=1e-6, maxIter=100, standardization=False).fit(rows.where("split = 'train'"))
     theirs = model.transform(rows.where("split = 'test'")).select(F.col("label").cast("int").alias("gold"), F.col("prediction").cast("int").alias("said"))
     ours = fitted["gate"].predict(fitted["rows"].where("split = 'test'")).select(F.col("label").alias("gold"), F.col("pred").alias("said"))
-    a, b = (metrics.classification_scores(x, "gold", "said", positive=1) for x in (ours, theirs))
-    both = a.select(F.lit(1).alias("k"), F.col("accuracy").alias("accuracy_own"), F.col("f1").alias("f1_own")).join(b.select(F.lit(1).alias("k"), F.col("accuracy").alias("accuracy_library"), F.col("f1").alias("f1_library")), "k").drop("k")
+
+    pii = tokens.where("is_pii = 1").select(*KEY, "split", "category")
+    names = [r["category"] for r in pii.where("split = 'train'").select("category").distinct().orderBy("category").collect()]
+    known = F.array(*map(F.lit, names))
+    counted = sparse_rows(fitted["counts"].join(pii.select(*KEY), KEY, "left_semi"), pii, KEY, "category").join(pii.select(*KEY, "split"), KEY)
+    counted = cut(counted.select("split", F.col("label").alias("gold"), (F.array_position(known, F.col("label")) - 1).cast("double").alias("label"), vector("columns", "values").alias("features")))
+    bayes = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(counted.where("split = 'train'"))
+    their_kinds = bayes.transform(counted.where("split = 'test'")).select("gold", F.element_at(known, F.col("prediction").cast("int") + 1).alias("said"))
+    test = pii.where("split = 'test'")
+    our_kinds = fitted["bayes"].predict(fitted["counts"].join(test.select(*KEY), KEY, "left_semi"), test, KEY).join(test, KEY).select(F.col("category").alias("gold"), F.col("predicted").alias("said"))
+
+    def beside(name: str, ours: DataFrame, theirs: DataFrame, positive=None) -> DataFrame:
+        a, b = (metrics.classification_scores(x, "gold", "said", positive=positive) for x in (ours, theirs))
+        return a.select(F.lit(name).alias("model"), F.col("accuracy").alias("accuracy_own"), F.col("f1").alias("f1_own")).crossJoin(b.select(F.col("accuracy").alias("accuracy_library"), F.col("f1").alias("f1_library")))
+
+    both = beside("logistic_regression_binary", ours, theirs, positive=1).union(beside("naive_bayes_category", our_kinds, their_kinds))
     return both.withColumn("accuracy_difference", F.abs(F.col("accuracy_own") - F.col("accuracy_library"))).withColumn("f1_difference", F.abs(F.col("f1_own") - F.col("f1_library")))

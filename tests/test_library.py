@@ -226,3 +226,13 @@ def test_job_trains_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(training, "train_configuration", lambda tokens, chars, **how: asked.update(how))
     own._job(spark)
     assert asked.get("max_iter", BinaryLogisticRegression().max_iter) == BinaryLogisticRegression().max_iter == 600
+
+
+def test_library_comparison_has_both_models(spark, monkeypatch):
+    _, tokens = training.labelled_corpus(spark, 60)
+    fitted = training.train_configuration(tokens, True, max_iter=3)
+    asked = {}
+    monkeypatch.setattr(own, "_job", lambda spark, **how: (asked.update(how), (fitted, tokens))[1])
+    rows = {r.model: r for r in own.library_comparison(spark, "").collect()}
+    assert asked.get("chars", True) and set(rows) == {"logistic_regression_binary", "naive_bayes_category"}
+    assert rows["naive_bayes_category"].accuracy_difference < 0.1 and rows["naive_bayes_category"].f1_own > 0
