@@ -148,7 +148,8 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remov
     """
     n = found.count()
     near = found.select(id_key().alias("doc"), "th", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms"))
-    entities = near.groupBy("entity").agg(F.count_distinct("doc", "th").alias("n_entity"), F.approx_count_distinct("th").alias("texts")).where(F.col("texts") >= 2)
+    entities = near.groupBy("entity").agg(F.count_distinct("doc", "th").alias("n_entity"), (F.min("th") != F.max("th")).alias("several"))
+    entities = entities.where("several") if min_texts >= 2 else entities
     pairs = near.join(entities.select("entity"), "entity", "left_semi").dropDuplicates(["doc", "th", "entity"]).select("th", "entity", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_texts)
     pairs = stored(pairs)

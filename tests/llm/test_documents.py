@@ -390,6 +390,12 @@ def test_pii_disclosing_terms_far_away(spark):
     assert not spans[10].added
 
 
+def test_pii_single_text_on_request(spark):
+    docs = spark.createDataFrame([(0, "quorvex jo@example.com")] + [(i, "filler") for i in range(1, 50)], "doc_id long, text string")
+    rules = lambda n: {(x.term, x.action) for x in pii.disclosing(docs, pii.find(docs), min_texts=n).collect()}
+    assert rules(1) == {("quorvex", "removed")} and not rules(2)
+
+
 def test_quality(spark):
     r = random.Random(5)
     good = lambda: " ".join(r.choice(["the", "river", "runs", "past", "old", "stone", "walls", "and", "quiet", "towns"]) for _ in range(80)) + "."
