@@ -107,12 +107,12 @@ _CAT_COUNTS = """counts AS (SELECT 'overall' AS part, category AS gold, guessed
 
 @query(f"SELECT doc_id, {_clean_sql('text')} AS cleaned FROM documents")
 def clean_documents(spark, d):
-    return _read(spark, d, "documents").select("doc_id", T.clean("text").alias("cleaned"))
+    return _read(spark, d, "documents").select("doc_id", T.clean("text", exact=True).alias("cleaned"))
 
 
 @query(f"SELECT page_id, {_clean_sql('html')} AS cleaned FROM pages")
 def clean_pages(spark, d):
-    return _read(spark, d, "pages").select("page_id", T.clean("html").alias("cleaned"))
+    return _read(spark, d, "pages").select("page_id", T.clean("html", exact=True).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w FROM documents)")

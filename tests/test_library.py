@@ -236,3 +236,11 @@ def test_library_comparison_has_both_models(spark, monkeypatch):
     rows = {r.model: r for r in own.library_comparison(spark, "").collect()}
     assert asked.get("chars", True) and set(rows) == {"logistic_regression_binary", "naive_bayes_category"}
     assert rows["naive_bayes_category"].accuracy_difference < 0.1 and rows["naive_bayes_category"].f1_own > 0
+
+
+def test_clean_queries_are_exact(spark, tmp_path):
+    raw = "\ufb01x &#39;caf&eacute;&#39; \uff21"
+    spark.createDataFrame([(1, raw)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, raw)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for query in (own.clean_documents, own.clean_pages):
+        assert query(spark, str(tmp_path)).first().cleaned == "fix 'caf\u00e9' A"
