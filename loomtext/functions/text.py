@@ -6,13 +6,14 @@ which have no built-in counterpart and run as Arrow functions.
 
 from __future__ import annotations
 
+import functools
 import html
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # The pictograph ranges that cleaning removes.
 PICTOGRAPHS = (
@@ -51,6 +52,12 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
+def checked(c) -> Column:
+    """The column; reading it fails if it isn't of text."""
+    c = _col(c)
+    return F.when(F.typeof(c).rlike("^(string|void|(var)?char)"), c).otherwise(F.raise_error(F.lit("text must be a string")))
+
+
 def strip_tags(c) -> Column:
     return F.regexp_replace(_col(c), "<[^>]*>", " ")
 
@@ -69,8 +76,9 @@ def clean(c, remove_emoji: bool = True, exact: bool = False) -> Column:
 
     ``exact`` adds NFKC and all references; texts that need neither go past
     Python as nulls. Without it, only ``ENTITIES`` are resolved, natively.
+    Anything but text fails.
     """
-    text = _col(c)
+    text = checked(c)
     if exact:
         text = F.coalesce(normalised(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
     text = strip_tags(text)
@@ -109,17 +117,47 @@ def words(c) -> Column:
     return F.filter(F.split(_col(c), "[ \\t\\n\\x0B\\f\\r]+"), lambda t: t != "")
 
 
+@F.pandas_udf(ArrayType(StructType().add("token", StringType()).add("start", IntegerType()).add("end", IntegerType())))
+def _offsets(texts: pd.Series, tokens: pd.Series) -> pd.Series:
+    def of(text, own):
+        if text is None or own is None:
+            return None
+        out, end = [], 0
+        for token in own:
+            start = text.find(token, end)
+            end = start + len(token)
+            out.append({"token": token, "start": start, "end": end})
+        return out
+
+    return pd.Series([of(t, w) for t, w in zip(texts, tokens, strict=True)], dtype=object)
+
+
 def offsets(text, tokens) -> Column:
-    """array<struct<token, start, end>> of tokens that are slices of the text in order; offsets from 0 in code points, ends excluded."""
-    text, tokens = _col(text), _col(tokens)
-    empty = F.array().cast("array<struct<token:string,start:int,end:int>>")
+    """array<struct<token, start, end>> of tokens that are slices of the text in order; offsets from 0 in code points, ends excluded.
+
+    One pass over the text, in Arrow batches: a native fold copies its array for
+    each token, which is quadratic for long texts. Nulls give null.
+    """
+    return _offsets(_col(text), _col(tokens))
+
+
+# Words before a full stop that doesn't end a sentence.
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Jr", "Sr", "Inc", "Ltd", "Co", "No", "vs", "etc")
+
+
+def sentences(c) -> Column:
+    """Sentences of a text by rule: an end mark, closing quotes or brackets, white space, then a capital or a digit; not after ``ABBREVIATIONS`` or initials."""
+    ends = "(?<!\\b(?:" + "|".join(ABBREVIATIONS) + ")\\.)(?<!\\b\\p{Lu}\\.)(?<=[.!?][\"')\\]]{0,2})\\s+(?=[\"'(\\[]{0,2}[\\p{Lu}\\p{Nd}])"
+    return F.filter(F.split(_col(c), ends), lambda s: F.trim(s) != "")
+
 
-    def step(done, token):
-        after = F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(0)
-        at = F.call_function("locate", token, text, after + 1) - 1
-        return F.concat(done, F.array(F.struct(token.alias("token"), at.alias("start"), (at + F.length(token)).alias("end"))))
+def tokenize(c) -> Column:
+    """Treebank tokens of a text's sentences, so that every sentence's full stop is a token; null gives null."""
+    return F.flatten(F.transform(sentences(c), treebank))
 
-    return F.aggregate(tokens, empty, step)
+
+def levenshtein_distance(a, b) -> Column:
+    return F.levenshtein(_col(a), _col(b))
 
 
 def transform_tokens(tokens, lowercase: bool = False, remove_stopwords: bool = False, stem: bool = False, lemmas: dict[str, str] | None = None) -> Column:
@@ -134,7 +172,7 @@ def transform_tokens(tokens, lowercase: bool = False, remove_stopwords: bool = F
         out = stemmed(out)
     if lemmas:
         by = F.create_map(*(F.lit(x) for kv in lemmas.items() for x in kv))
-        out = F.transform(out, lambda t: F.coalesce(by[F.lower(t)], t))
+        out = F.transform(out, lambda t: F.when(t.rlike("^\\p{L}+$"), F.coalesce(by[F.lower(t)], t)).otherwise(t))
     return out
 
 
@@ -156,25 +194,28 @@ def restore_case(original, corrected) -> Column:
     return F.when(original.rlike("^[A-Z]+$"), F.upper(corrected)).when(original.rlike("^[A-Z][a-z]*$"), F.initcap(corrected)).otherwise(corrected)
 
 
-def nearest_word(token, vocabulary: tuple[str, ...] = VOCABULARY) -> Column:
-    """struct<distance, word> of the nearest word; ties go to the first in order."""
+def nearest_word(token, vocabulary: tuple[str, ...] | Column = VOCABULARY) -> Column:
+    """struct<distance, word> of the nearest word; ties go to the first in order. The vocabulary is lower-cased and each word counts once; it may be an array column."""
     token = _col(token)
-    return F.array_min(F.array(*(F.struct(F.levenshtein(token, F.lit(w)).alias("distance"), F.lit(w).alias("word")) for w in dict.fromkeys(v.lower() for v in vocabulary))))
+    near = lambda w: F.struct(F.levenshtein(token, w).alias("distance"), w.alias("word"))
+    if isinstance(vocabulary, Column):
+        return F.array_min(F.transform(F.array_distinct(F.transform(vocabulary, F.lower)), near))
+    return F.array_min(F.array(*(near(F.lit(w)) for w in dict.fromkeys(v.lower() for v in vocabulary))))
 
 
-def correct_token(token, vocabulary: tuple[str, ...] = VOCABULARY, max_distance: int = 2) -> Column:
+def correct_token(token, vocabulary: tuple[str, ...] | Column = VOCABULARY, max_distance: int = 2) -> Column:
     """A token of ASCII letters by alias, else by the nearest word within ``max_distance``; all else stays."""
     token = _col(token)
     low = F.lower(token)
     alias = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))[low]
     out = F.when(~token.rlike("^[A-Za-z]+$"), token).when(alias.isNotNull(), restore_case(token, alias))
-    if vocabulary:
+    if isinstance(vocabulary, Column) or vocabulary:
         best = nearest_word(low, vocabulary)
         out = out.when(best["distance"] <= max_distance, restore_case(token, best["word"]))
     return out.otherwise(token)
 
 
-def correct_spelling(tokens, vocabulary: tuple[str, ...] = VOCABULARY, max_distance: int = 2) -> Column:
+def correct_spelling(tokens, vocabulary: tuple[str, ...] | Column = VOCABULARY, max_distance: int = 2) -> Column:
     return F.transform(_col(tokens), lambda t: correct_token(t, vocabulary, max_distance))
 
 
@@ -182,11 +223,37 @@ def correct_spelling(tokens, vocabulary: tuple[str, ...] = VOCABULARY, max_dista
 ORTHOGRAPHIC = ("ortho:capitalized", "ortho:digit", "ortho:at", "ortho:dot", "ortho:length", "ortho:all_digits")
 
 
+@functools.cache
+def _class(has) -> str:
+    """A character class, for Java and RE2, of the characters that ``has`` holds for."""
+    points = {i for i in range(0x20000) if has(chr(i))}
+    runs = zip(sorted(p for p in points if p - 1 not in points), sorted(p for p in points if p + 1 not in points), strict=True)
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def upper_class() -> str:
+    """Capitals: upper-case letters and the letter numbers and circled letters that count as such."""
+    return "[\\p{Lu}" + _class(_other_capital)[1:]
+
+
+def digit_class() -> str:
+    """Digits: decimal ones, and those in superscripts, subscripts and circles."""
+    return "[\\p{Nd}" + _class(_other_digit)[1:]
+
+
+def _other_capital(c: str) -> bool:
+    return c.isupper() and unicodedata.category(c) != "Lu"
+
+
+def _other_digit(c: str) -> bool:
+    return c.isdigit() and unicodedata.category(c) != "Nd"
+
+
 def orthographic(token) -> list[Column]:
     """First character a capital; a digit; an at sign; a dot; length over 50, one at most; digits alone."""
     t = _col(token)
     shapes = (
-        t.rlike("^\\p{Lu}"), t.rlike("\\p{Nd}"), t.contains("@"), t.contains("."), F.least(F.length(t), F.lit(50)) / 50.0, t.rlike("^\\p{Nd}+$"),
+        t.rlike("^" + upper_class()), t.rlike(digit_class()), t.contains("@"), t.contains("."), F.least(F.length(t), F.lit(50)) / 50.0, t.rlike("^" + digit_class() + "+$"),
     )
     return [s.cast("double").alias(n) for s, n in zip(shapes, ORTHOGRAPHIC, strict=True)]
 

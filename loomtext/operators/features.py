@@ -72,13 +72,12 @@ class WindowFeatureBuilder:
         """vocabulary: feature, column, family, df, idf. The most frequent of each family, ties by name; then the shapes."""
         n = tokens.count()
         df = self.document_frequency(tokens).where(F.col("df") >= self.min_frequency).withColumn("family", family())
-        best = Window.partitionBy("family").orderBy(F.col("df").desc(), "feature")
-        most = F.when(F.col("family") == "word", self.max_word_features).otherwise(self.max_char_features)
-        # the threshold lets ranks be limited before the shuffle, so no family's tail meets in a task
-        conf = tokens.sparkSession.conf
-        if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < max(self.max_word_features, self.max_char_features):
-            conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(max(self.max_word_features, self.max_char_features)))
-        top = df.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= max(self.max_word_features, self.max_char_features)) & (F.col("rank") <= most))
+        # tasks keep their best rows only, so no family's tail travels
+        best = lambda name, k: df.where(F.col("family") == name).orderBy(F.col("df").desc(), "feature").limit(k)
+        top = best("word", self.max_word_features)
+        if self.use_char_ngrams:
+            top = top.union(best("char", self.max_char_features))
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.col("df").desc(), "feature")))
         shapes = tokens.sparkSession.createDataFrame([(name, 0, "ortho", i + 1) for i, name in enumerate(ORTHOGRAPHIC)], "feature string, df bigint, family string, rank int")
         rows = top.select("feature", "df", "family", "rank").unionByName(shapes)
         order = Window.orderBy(F.when(F.col("family") == "word", 0).when(F.col("family") == "char", 1).otherwise(2), "rank")
@@ -91,11 +90,13 @@ class WindowFeatureBuilder:
             raise RuntimeError("fit first")
         if weighting not in ("count", "tfidf"):
             raise ValueError("weighting is count or tfidf")
-        counts = self.names(tokens).select("sentence_id", "token_idx", F.explode("names").alias("feature")).groupBy("sentence_id", "token_idx", "feature").agg(F.count("*").cast("double").alias("value"))
+        # the vocabulary holds max_word_features + max_char_features + 6 rows at most
+        known = F.broadcast(self.vocabulary.select("feature", "column", "idf"))
+        named = self.names(tokens).select("sentence_id", "token_idx", F.explode("names").alias("feature"))
+        counts = named.join(known, "feature").groupBy("sentence_id", "token_idx", "feature", "column", "idf").agg(F.count("*").cast("double").alias("value"))
         shapes = tokens.select("sentence_id", "token_idx", *orthographic("token"))
         shapes = shapes.select("sentence_id", "token_idx", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in ORTHOGRAPHIC))).alias("x")).select("sentence_id", "token_idx", "x.feature", "x.value")
-        # the vocabulary holds max_word_features + max_char_features + 6 rows at most
-        rows = counts.unionByName(shapes).where("value <> 0").join(F.broadcast(self.vocabulary.select("feature", "column", "idf")), "feature")
+        rows = counts.unionByName(shapes.where("value <> 0").join(known, "feature"))
         value = F.col("value") * F.col("idf") if weighting == "tfidf" else F.col("value")
         return rows.select("sentence_id", "token_idx", "column", "feature", value.alias("value"))
 

@@ -3,11 +3,13 @@
 Rows are sparse: one for each example, (columns array<int>, values
 array<double>, label). A step is one job: tasks add up their part of the
 gradient over Arrow batches against weights sent to all of them, and return one
-row; so the driver holds the model and a gradient, never examples.
+row each; these are added up in tasks too, so the driver gets few of them and
+never examples.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +34,24 @@ def sparse_rows(features: DataFrame, targets: DataFrame, key: list[str], label:
     return rows.select(*key, F.transform("x", lambda s: s["column"]).alias("columns"), F.transform("x", lambda s: s["value"]).alias("values"), "label")
 
 
+def _tree_sum(parts: DataFrame, n: int, most: int = 64) -> tuple[np.ndarray, float, float]:
+    """The sums of (g, e, l) over rows that come from ``n`` tasks; tasks add them up until at most ``most`` reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, e, l = 0.0, 0.0, 0.0  # noqa: E741
+        for b in batches:
+            g = sum(map(np.frombuffer, b.column(0).to_pylist()), g)
+            e, l = e + np.sum(b.column(1).to_numpy()), l + np.sum(b.column(2).to_numpy())  # noqa: E741
+        if not np.isscalar(g):
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([e]), pa.array([l])], ["g", "e", "l"])
+
+    while n > most:
+        n = max(most, math.isqrt(n))
+        parts = parts.repartition(n).mapInArrow(add, "g binary, e double, l double")
+    got = parts.collect()
+    return sum(np.frombuffer(r["g"]) for r in got), sum(r["e"] for r in got), sum(r["l"] for r in got)
+
+
 @dataclass
 class BinaryLogisticRegression:
     learning_rate: float = 0.15
@@ -51,9 +71,12 @@ class BinaryLogisticRegression:
         spark = rows.sparkSession
         # each step plans anew: from stored rows it has nothing to plan, and a lost executor costs no recomputation
         rows = cut(rows.select("columns", "values", F.col("label").cast("double").alias("label")))
-        n, bad = rows.agg(F.count("*"), F.sum(F.when(F.col("label").isin(0.0, 1.0), 0).otherwise(1))).first()
+        n, bad, last, first = rows.agg(F.count("*"), F.sum(F.when(F.col("label").isin(0.0, 1.0), 0).otherwise(1)), F.max(F.array_max("columns")), F.min(F.array_min("columns"))).first()
         if not n or bad:
             raise ValueError("labels must be 0 or 1, and there must be some")
+        if last is not None and (last >= n_columns or first < 0):
+            raise ValueError(f"columns must be from 0 to {n_columns - 1}")
+        rows_at_once = rows.rdd.getNumPartitions()
         w, b, self.history = np.zeros(n_columns), 0.0, []
         for _ in range(self.max_iter):
             shared = spark.sparkContext.broadcast((w, b))
@@ -73,11 +96,9 @@ class BinaryLogisticRegression:
                     loss -= (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
                 yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()]), pa.array([off]), pa.array([loss])], ["g", "e", "l"])
 
-            # one row for each partition comes back, of the model's size
-            parts = rows.mapInArrow(part, "g binary, e double, l double").collect()
-            gradient = sum(np.frombuffer(r["g"]) for r in parts) / n + self.l2 * w
-            w, b = w - self.learning_rate * gradient, b - self.learning_rate * sum(r["e"] for r in parts) / n
-            self.history.append(sum(r["l"] for r in parts) / n + self.l2 / 2 * float(w @ w))
+            gradient, off, loss = _tree_sum(rows.mapInArrow(part, "g binary, e double, l double"), rows_at_once)
+            w, b = w - self.learning_rate * (gradient / n + self.l2 * w), b - self.learning_rate * off / n
+            self.history.append(loss / n + self.l2 / 2 * float(w @ w))
             shared.destroy()
             if len(self.history) > 1 and abs(self.history[-1] - self.history[-2]) < self.tolerance:
                 break
@@ -114,21 +135,25 @@ class BinaryLogisticRegression:
 
 
 def sql_steps(rows: DataFrame, columns: list[str], label: str, rate: float = 0.15, steps: int = 3) -> DataFrame:
-    """A few gradient steps over dense columns in DataFrame functions alone: (step, loss, bias, one weight a column)."""
-    state = rows.sparkSession.range(1).select(*(F.lit(0.0).alias(f"w_{i}") for i in range(len(columns))), F.lit(0.0).alias("bias"))
-    out = None
+    """A few gradient steps over dense columns in DataFrame functions alone: (step, loss, bias, one weight a column).
+
+    Equal examples are counted first and weigh as many as they are. Each step's
+    state is stored, so that the next one doesn't plan the former again.
+    """
+    names = [f"x_{i}" for i in range(len(columns))]
+    examples = cut(rows.groupBy(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), F.col(label).alias("y")).agg(F.count("*").alias("n")))
+    total = F.sum("n")
+    mean = lambda x: F.sum(F.col("n") * x) / total
+    state, out = {n: 0.0 for n in ("bias", *names)}, []
     for step in range(1, steps + 1):
-        z = F.col("bias")
-        for i, c in enumerate(columns):
-            z = z + F.col(f"`{c}`") * F.col(f"w_{i}")
-        joined = rows.join(F.broadcast(state)).withColumn("p", sigmoid(z))
-        p, y = F.greatest(F.least("p", F.lit(1 - 1e-12)), F.lit(1e-12)), F.col(label)
+        z = F.lit(state["bias"])
+        for n in names:
+            z = z + F.col(n) * F.lit(state[n])
+        said = examples.withColumn("p", sigmoid(z))
+        p, y = F.greatest(F.least("p", F.lit(1 - 1e-12)), F.lit(1e-12)), F.col("y")
         e = F.col("p") - y
-        sums = joined.agg(
-            *((F.first(f"w_{i}") - rate * F.avg(F.col(f"`{c}`") * e)).alias(f"w_{i}") for i, c in enumerate(columns)),
-            (F.first("bias") - rate * F.avg(e)).alias("bias"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss"),
-        )
-        state = sums.drop("loss")
-        row = sums.select(F.lit(step).alias("step"), *(F.round(c, 6).alias(c) for c in sums.columns))
-        out = row if out is None else out.unionByName(row)
-    return out
+        got = said.agg(*(mean(F.col(n) * e).alias(n) for n in names), mean(e).alias("bias"), mean(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss")).first()
+        state = {n: w - rate * got[n] for n, w in state.items()}
+        out.append((step, *(round(state[n], 6) for n in names), round(state["bias"], 6), round(got["loss"], 6)))
+    kinds = ", ".join(["step int", *(f"w_{i} double" for i in range(len(columns))), "bias double", "loss double"])
+    return rows.sparkSession.createDataFrame(out, kinds)

@@ -36,10 +36,23 @@ def label_scores(counts: DataFrame) -> DataFrame:
 
 
 def averages(counts: DataFrame) -> DataFrame:
-    """Per part: means over observed labels, f1 weighted by support, accuracy."""
+    """Per part: means over observed labels, f1 weighted by support, accuracy. Overall has a row even where nothing was counted: zeros."""
     s = label_scores(counts).groupBy("part").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("macro_f1"), _RATIO(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
     right = counts.groupBy("part").agg(_RATIO(F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    return s.join(right, "part")
+    return _with_overall(counts).join(s.join(right, "part"), "part", "left").na.fill(0.0)
+
+
+def _with_overall(counts: DataFrame) -> DataFrame:
+    """The parts of ``counts``, overall always among them."""
+    return counts.select("part").union(counts.sparkSession.range(1).select(F.lit("overall"))).distinct()
+
+
+def in_order(report: DataFrame, *labels: str, outside: str = "last") -> DataFrame:
+    """``report`` sorted: overall before the other parts, then each of ``labels`` by name with O at the ``outside`` end (first or last)."""
+    edge = lambda c: (F.col(c) != "O") if outside == "first" else (F.col(c) == "O")
+    keys = [x for c in labels for x in (edge(c), F.col(c))]
+    parts = [F.col("part") != "overall", F.col("part")] if "part" in report.columns else []
+    return report.orderBy(*parts, *keys)
 
 
 def confusion(counts: DataFrame) -> DataFrame:
@@ -49,28 +62,47 @@ def confusion(counts: DataFrame) -> DataFrame:
     return grid.join(counts, ["part", "gold", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def span_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Exact-span precision, recall and f1 of two sets of spans (sentence_id, start, end, label)."""
-    sides = predicted.select("sentence_id", "start", "end", "label", F.lit(1).alias("p"), F.lit(0).alias("g")).union(gold.select("sentence_id", "start", "end", "label", F.lit(0), F.lit(1)))
-    spans = sides.groupBy("sentence_id", "start", "end", "label").agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    s = spans.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.col("p") * F.col("g"), "correct"), (F.col("p"), "predicted"), (F.col("g"), "gold"))))
+def span_scores(predicted: DataFrame, gold: DataFrame, by: str | None = None) -> DataFrame:
+    """Exact-span precision, recall and f1 of two sets of spans (sentence_id, start, end, label); with ``by``, a column of both, also of each of its values."""
+    keys = ["sentence_id", "start", "end", "label", *([by] if by else [])]
+    side = lambda d, p, g: d.select(*keys, F.lit(p).alias("p"), F.lit(g).alias("g"))
+    spans = side(predicted, 1, 0).union(side(gold, 0, 1)).groupBy(*keys).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    parts = F.explode(F.array(F.lit("overall"), F.col(by).cast("string"))) if by else F.lit("overall")
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.col("p") * F.col("g"), "correct"), (F.col("p"), "predicted"), (F.col("g"), "gold"))]
+    s = spans.select(parts.alias("part"), "p", "g").groupBy("part").agg(*sums)
+    s = _with_overall(s).join(s, "part", "left").na.fill(0)
     s = s.withColumn("precision", _RATIO(F.col("correct"), F.col("predicted"))).withColumn("recall", _RATIO(F.col("correct"), F.col("gold")))
     return s.withColumn("f1", _RATIO(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def evaluate_bio(rows: DataFrame, predicted: str = "predicted", gold: str = "tag", by: str | None = None) -> dict[str, DataFrame]:
-    """All reports of token rows with two tag columns: tokens (averages of whole tags), labels, categories (without O), spans, confusion of categories."""
+    """All reports of token rows with two tag columns, overall and for each value of ``by``.
+
+    tokens (averages of whole tags), labels, categories (without O), spans,
+    confusion of categories. Labels are those that a part has itself; ``in_order``
+    sorts a report. ``by`` must be the same for all tokens of a sentence.
+    """
     tags = counted(rows, gold, predicted, by)
     cats = counted(rows.withColumn("gc", base_category(gold)).withColumn("pc", base_category(predicted)), "gc", "pc", by)
+    keep = (by,) if by else ()
     return {
         "tokens": averages(tags),
         "labels": label_scores(tags),
         "categories": label_scores(cats).where("label <> 'O'"),
-        "spans": span_scores(extract_spans(rows, predicted), extract_spans(rows, gold)),
+        "spans": span_scores(extract_spans(rows, predicted, keep), extract_spans(rows, gold, keep), by),
         "confusion": confusion(cats),
     }
 
 
+def evaluate_sequences(predicted: DataFrame, gold: DataFrame, by: str | None = None, tag: str = "tag") -> dict[str, DataFrame]:
+    """``evaluate_bio`` of two tables of token rows (sentence_id, token_idx, tag; ``by`` in gold). Raises ValueError if a token is in one of them alone."""
+    if shape_errors(predicted, gold).limit(1).count():
+        raise ValueError("predicted and gold differ in sentences or in their lengths")
+    keys = ["sentence_id", "token_idx"]
+    rows = gold.select(*keys, F.col(tag).alias("gold"), *([by] if by else [])).join(predicted.select(*keys, F.col(tag).alias("said")), keys)
+    return evaluate_bio(rows, "said", "gold", by)
+
+
 def classification_scores(rows: DataFrame, gold: str, predicted: str, positive=None) -> DataFrame:
     """accuracy, and f1 of the positive label or the mean over all labels."""
     counts = counted(rows.select(F.col(gold).cast("string").alias("g"), F.col(predicted).cast("string").alias("p")), "g", "p")

@@ -21,27 +21,35 @@ class MulticlassNaiveBayes:
             raise ValueError("alpha must be above 0")
 
     def fit(self, features: DataFrame, targets: DataFrame, key: list[str], columns: DataFrame) -> MulticlassNaiveBayes:
-        """``features``: key, column, value (not negative); ``targets``: key, category; ``columns``: all columns."""
-        if features.where("value < 0").limit(1).count():
+        """``features``: key, column, value (not negative); ``targets``: key, category; ``columns``: all columns. Features of rows without a target don't count."""
+        known = columns.select("column", F.lit(True).alias("known")).distinct()
+        low, strange = features.join(known, "column", "left").agg(F.min("value"), F.count(F.when(F.col("known").isNull(), 1))).first()
+        if low is not None and low < 0:
             raise ValueError("values must not be negative")
+        if strange:
+            raise ValueError("features have columns that aren't among the columns")
         classes = targets.groupBy("category").agg(F.count("*").alias("n"))
         total = Window.partitionBy(F.lit(0))
         self.priors = classes.select("category", F.log(F.col("n") / F.sum("n").over(total)).alias("log_prior"))
         sums = features.join(targets, key).groupBy("category", "column").agg(F.sum("value").alias("s"))
-        grid = classes.select("category").join(F.broadcast(columns.select("column").distinct()))
+        # classes x columns: the model itself
+        grid = classes.select("category").crossJoin(known.select("column"))
         s = F.coalesce("s", F.lit(0.0)) + self.alpha
         rows = grid.join(sums, ["category", "column"], "left").select("category", "column", s.alias("s"))
         self.likelihoods = rows.select("category", "column", F.log(F.col("s") / F.sum("s").over(Window.partitionBy("category"))).alias("log_prob"))
         return self
 
-    def joint_log(self, features: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-        """key, category, score (not normalised) of all ``rows``, also those without features."""
-        if self.priors is None:
+    def joint_log(self, features: DataFrame, rows: DataFrame, key: list[str], most_classes: int = 10_000) -> DataFrame:
+        """key, category, score (not normalised) of all ``rows``, also those without features. More than ``most_classes`` classes raise ValueError."""
+        if self.priors is None or self.likelihoods is None:
             raise RuntimeError("fit first")
-        # classes x columns: the model's size, not the data's
-        part = features.join(F.broadcast(self.likelihoods), "column").groupBy(*key, "category").agg(F.sum(F.col("value") * F.col("log_prob")).alias("s"))
-        every = rows.select(*key).join(F.broadcast(self.priors))
-        return every.join(part, [*key, "category"], "left").select(*key, "category", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score"))
+        priors = self.priors.limit(most_classes + 1).collect()
+        if len(priors) > most_classes:
+            raise ValueError(f"more than {most_classes} classes")
+        part = features.join(self.likelihoods, "column").groupBy(*key, "category").agg(F.sum(F.col("value") * F.col("log_prob")).alias("s"))
+        every = F.array(*(F.struct(F.lit(r["category"]).alias("category"), F.lit(r["log_prior"]).alias("log_prior")) for r in priors))
+        scores = rows.select(*key, F.explode(every).alias("x")).select(*key, "x.category", "x.log_prior")
+        return scores.join(part, [*key, "category"], "left").select(*key, "category", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score"))
 
     def predict(self, features: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
         """key and predicted: the best score; of equal ones the first class in order."""

@@ -17,14 +17,24 @@ def shuffled_place(seed: int, key: str):
 
 
 def split(rows: DataFrame, by: str = "group", key: str = "sentence_id", seed: int = 42, train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """``rows`` with split: of each group in hash order the first round(n * train) train, then val, the rest test; halves round to even."""
-    if not (0 < train < 1 and 0 < val < 1 and train + val < 1):
-        raise ValueError("ratios must be above 0 and leave some for the test split")
-    w = Window.partitionBy(by)
-    placed = rows.withColumn("_at", F.row_number().over(w.orderBy(shuffled_place(seed, key), key))).withColumn("_n", F.count("*").over(w))
-    a, b = F.bround(F.col("_n") * F.lit(train), 0), F.bround(F.col("_n") * F.lit(val), 0)
-    which = F.when(F.col("_at") <= a, "train").when(F.col("_at") <= a + b, "val").otherwise("test")
-    return placed.withColumn("split", which).drop("_at", "_n")
+    """``rows`` with split: of each group in hash order the first round(n * train) train, then val, the rest test; halves round to even.
+
+    Places come from ranges of the hash: each range's rows are counted, the
+    counts of earlier ranges added to the places within a range. So no group,
+    however large, is sorted in one task.
+    """
+    if not (0 < train < 1 and 0 <= val < 1 and train + val < 1):
+        raise ValueError("train must be above 0, val 0 or more, and both leave some for the test split")
+    marked = rows.withColumn("_h", shuffled_place(seed, key)).withColumn("_range", F.substring("_h", 1, 4))
+    ranges = marked.groupBy(by, "_range").agg(F.count("*").alias("_m"))
+    group = Window.partitionBy(by)
+    ahead = F.coalesce(F.sum("_m").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), ahead.alias("_ahead"), F.sum("_m").over(group).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_h", key))
+    placed = marked.withColumn("_at", place).join(ranges, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    at, a, b = F.col("_at") + F.col("_ahead"), F.bround(F.col("_n") * F.lit(train), 0), F.bround(F.col("_n") * F.lit(val), 0)
+    which = F.when(at <= a, "train").when(at <= a + b, "val").otherwise("test")
+    return placed.withColumn("split", which).select(*rows.columns, "split")
 
 
 def leakage(rows: DataFrame, text: str = "text") -> DataFrame:

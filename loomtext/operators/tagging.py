@@ -42,14 +42,14 @@ def cascade(rows: DataFrame, gate: str, category: str) -> DataFrame:
     return categories_to_bio(rows.withColumn("pred_category", F.when(F.col(gate) == 1, F.col(category)).otherwise("O")), "pred_category", out="predicted")
 
 
-def extract_spans(rows: DataFrame, tag: str = "tag") -> DataFrame:
-    """(sentence_id, start, end, label) of runs: a labelled token starts one unless it is I- of the label before it; ends are excluded."""
+def extract_spans(rows: DataFrame, tag: str = "tag", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sentence_id, start, end, label) of runs: a labelled token starts one unless it is I- of the label before it; ends are excluded. ``keep``: more columns of the sentence."""
     t = F.col(tag)
     label = F.when(t != "O", base_category(t))
     begins = label.isNotNull() & ~(t.startswith("I-") & label.eqNullSafe(F.lag("label").over(_in_order())))
     marked = rows.withColumn("label", label).withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(_in_order()))
-    spans = marked.where("label is not null").groupBy("sentence_id", "island", "label").agg(F.min("token_idx").alias("start"), (F.max("token_idx") + 1).alias("end"))
-    return spans.select("sentence_id", "start", "end", "label")
+    spans = marked.where("label is not null").groupBy("sentence_id", *keep, "island", "label").agg(F.min("token_idx").alias("start"), (F.max("token_idx") + 1).alias("end"))
+    return spans.select("sentence_id", "start", "end", "label", *keep)
 
 
 def bio_violations(rows: DataFrame, tag: str = "tag") -> DataFrame:
@@ -62,7 +62,11 @@ def bio_violations(rows: DataFrame, tag: str = "tag") -> DataFrame:
 
 
 def align_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tags of tokens (sentence_id, token_idx, start, end) by entity spans (sentence_id, start, end, label) that overlap them; the first token of a span is B-."""
+    """Tags of tokens (sentence_id, token_idx, start, end) by entity spans (sentence_id, start, end, label) that overlap them; the first token of a span is B-.
+
+    A token that overlaps two spans has a row for each; ``alignment_errors`` lists
+    such tokens, and spans without a token, and ``aligned`` fails on either.
+    """
     s = spans.select(F.col("sentence_id"), F.col("start").alias("s0"), F.col("end").alias("s1"), "label")
     rows = tokens.join(s, [tokens["sentence_id"] == s["sentence_id"], tokens["start"] < s["s1"], tokens["end"] > s["s0"]], "left").drop(s["sentence_id"])
     nth = F.row_number().over(Window.partitionBy("sentence_id", "s0").orderBy("token_idx"))
@@ -76,3 +80,15 @@ def alignment_errors(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     lone = spans.join(tokens, hit, "left_anti").select("sentence_id", F.lit("entity without token").alias("error"))
     twice = tokens.join(spans, hit).groupBy(tokens["sentence_id"], tokens["token_idx"]).count().where("count > 1").select("sentence_id", F.lit("overlapping entities").alias("error"))
     return lone.union(twice)
+
+
+def aligned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """``align_spans``; raises ValueError if a span has no token or a token several spans."""
+    if found := alignment_errors(tokens, spans).limit(1).collect():
+        raise ValueError(f"{found[0]['error']} in sentence {found[0]['sentence_id']}")
+    return align_spans(tokens, spans)
+
+
+def sample(sentences: DataFrame, group: str, tag: str, key: str = "sentence_id") -> DataFrame:
+    """The first sentence (group, tags, ...) of a group that has a tag; no row if there is none."""
+    return sentences.where((F.col("group") == group) & F.array_contains("tags", tag)).orderBy(key).limit(1)

@@ -163,19 +163,20 @@ def _restore_sql(token: str, word: str) -> str:
 
 
 @query(
-    f"""WITH {_TOK}, t AS (SELECT DISTINCT token FROM tok), v AS (SELECT unnest([{", ".join(map(_quoted, T.VOCABULARY))}]) AS word),
+    f"""WITH {_TOK}, t AS (SELECT DISTINCT token FROM tok),
 a AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in T.ALIASES.items())}) x(low, full_word)),
-best AS (SELECT token, min({{'d': levenshtein(lower(token), word), 'w': word}}) AS b FROM t, v WHERE regexp_matches(token, '^[A-Za-z]+$') GROUP BY token)
-SELECT t.token, CASE WHEN NOT regexp_matches(t.token, '^[A-Za-z]+$') THEN t.token WHEN full_word IS NOT NULL THEN {_restore_sql("t.token", "full_word")}
+best AS (SELECT token, list_min(list_transform([{", ".join(map(_quoted, T.VOCABULARY))}], lambda w: {{'d': levenshtein(low, w), 'w': w}})) AS b
+  FROM (SELECT token, lower(token) AS low FROM t WHERE regexp_matches(token, '^[A-Za-z]+$')))
+SELECT t.token, CASE WHEN best.token IS NULL THEN t.token WHEN full_word IS NOT NULL THEN {_restore_sql("t.token", "full_word")}
   WHEN b.d <= 2 THEN {_restore_sql("t.token", "(b.w)")} ELSE t.token END AS corrected
-FROM t LEFT JOIN a ON a.low = lower(t.token) LEFT JOIN best ON best.token = t.token"""
+FROM t LEFT JOIN best ON best.token = t.token LEFT JOIN a ON a.low = lower(t.token)"""
 )
 def spell_correct(spark, d):
     return _tokens(spark, d).select("token").distinct().select("token", T.correct_token("token").alias("corrected"))
 
 
-_SHAPES_SQL = r"""(regexp_matches(token, '^\p{Lu}'))::INT::DOUBLE AS cap, (regexp_matches(token, '\p{Nd}'))::INT::DOUBLE AS digit, (contains(token, '@'))::INT::DOUBLE AS at_sign,
-  (contains(token, '.'))::INT::DOUBLE AS dot, least(length(token), 50) / 50.0::DOUBLE AS len, (regexp_matches(token, '^\p{Nd}+$'))::INT::DOUBLE AS all_digits"""
+_SHAPES_SQL = f"""(regexp_matches(token, '^{T.upper_class()}'))::INT::DOUBLE AS cap, (regexp_matches(token, '{T.digit_class()}'))::INT::DOUBLE AS digit, (contains(token, '@'))::INT::DOUBLE AS at_sign,
+  (contains(token, '.'))::INT::DOUBLE AS dot, least(length(token), 50) / 50.0::DOUBLE AS len, (regexp_matches(token, '^{T.digit_class()}+$'))::INT::DOUBLE AS all_digits"""
 _SHAPES = ("cap", "digit", "at_sign", "dot", "len", "all_digits")
 
 
@@ -368,8 +369,8 @@ def ablation_delta(spark, d):
 # --- models
 
 _DOCS_BAG = f"""{_TOK}, one AS (SELECT sid, lower(token) AS feature, count(*) AS c FROM tok GROUP BY ALL),
-vocab AS (SELECT feature, row_number() OVER (ORDER BY count(*) DESC, feature) - 1 AS col FROM one GROUP BY feature QUALIFY col < 300),
-x AS (SELECT sid, col, c FROM one JOIN vocab USING (feature)), y AS (SELECT doc_id AS sid, lang FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL),
+vocab AS (SELECT feature, row_number() OVER (ORDER BY count(*) DESC, feature) - 1 AS col FROM one GROUP BY feature QUALIFY col < 2500),
+x AS (SELECT sid, col, c FROM one JOIN vocab USING (feature)), y AS (SELECT doc_id AS sid, lang FROM documents WHERE lang IS NOT NULL),
 priors AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM y)::DOUBLE) AS log_prior FROM y GROUP BY lang),
 s AS (SELECT lang, col, sum(c)::DOUBLE AS s FROM x JOIN y USING (sid) GROUP BY ALL),
 grid AS (SELECT p.lang, v.col, coalesce(s.s, 0) + 1.0::DOUBLE AS s FROM priors p CROSS JOIN vocab v LEFT JOIN s ON s.lang = p.lang AND s.col = v.col),
@@ -377,14 +378,14 @@ lik AS (SELECT lang, col, ln(s / sum(s) OVER (PARTITION BY lang)) AS log_prob FR
 
 
 def _bag_of_documents(spark, d):
-    """Words of whole documents, the 300 that most documents hold; four of five documents train."""
+    """Words of whole documents, as many as the feature builder takes by default; all documents with a language train."""
     counts = _tokens(spark, d).groupBy("sentence_id", F.lower("token").alias("feature")).agg(F.count("*").cast("double").alias("value"))
-    top = counts.groupBy("feature").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "feature").limit(300)
+    top = counts.groupBy("feature").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "feature").limit(WindowFeatureBuilder.max_word_features)
     order = F.row_number().over(Window.orderBy(F.col("df").desc(), "feature"))
     vocab = top.withColumn("column", (order - 1).cast("long")).select("feature", "column")
     features = counts.join(F.broadcast(vocab), "feature").select("sentence_id", "column", "value")
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("lang").alias("category"))
-    model = MulticlassNaiveBayes().fit(features, docs.where("sentence_id % 5 <> 0 and category is not null"), ["sentence_id"], vocab)
+    model = MulticlassNaiveBayes().fit(features, docs.where("category is not null"), ["sentence_id"], vocab)
     return model, features, docs
 
 

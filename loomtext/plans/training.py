@@ -11,7 +11,7 @@ from ..operators import corpus, metrics, splits
 from ..operators.features import WindowFeatureBuilder
 from ..operators.logistic import BinaryLogisticRegression, sparse_rows
 from ..operators.naive_bayes import MulticlassNaiveBayes
-from ..operators.tagging import base_category, cascade
+from ..operators.tagging import base_category, cascade, flatten_targets
 from ..sources.shared import cut
 
 KEY = ["sentence_id", "token_idx"]
@@ -21,7 +21,7 @@ def labelled_corpus(spark: SparkSession, total: int = 1200, seed: int = 42) -> t
     """(sentences with split, token rows with split, group, tag, category, is_pii)."""
     examples = splits.split(splits.keep_first(corpus.generate_examples(spark, total, seed)), seed=seed)
     examples = cut(examples)
-    tokens = corpus.tagged_tokens(examples).join(examples.select("sentence_id", "split", "group"), "sentence_id")
+    tokens = corpus.tagged_tokens(examples, strict=True).join(examples.select("sentence_id", "split", "group"), "sentence_id")
     tokens = tokens.withColumn("category", base_category("tag")).withColumn("is_pii", (F.col("category") != "O").cast("int"))
     return examples, cut(tokens)
 
@@ -49,6 +49,12 @@ def train_configuration(tokens: DataFrame, use_char_ngrams: bool, window_size: i
     return {"builder": builder, "counts": counts, "rows": rows, "gate": gate, "bayes": bayes, "predicted": predicted, "n_columns": n_columns, "training_seconds": seconds}
 
 
+def tokens_of(sentences: DataFrame) -> DataFrame:
+    """Token rows of sentences (sentence_id, tokens, tags, split, group), as training takes them."""
+    rows = flatten_targets(sentences).join(sentences.select("sentence_id", "split", "group"), "sentence_id")
+    return cut(rows.select(*KEY, "token", "tag", "category", "is_pii", "split", "group"))
+
+
 def breakdown(predicted: DataFrame, split: str = "test") -> dict[str, DataFrame]:
     """Reports over all rows of a split and over each group."""
     return metrics.evaluate_bio(predicted.where(F.col("split") == split), by="group")
