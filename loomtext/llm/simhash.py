@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import id_key, map_in_arrow, mix64, partitions_for, stored, table
 from .components import components
-from .shingles import shared_rare, unlinked, verified
+from .shingles import name_of, parity, shared_rare, shingle_sets, unlinked, verified
+from .substring import Words
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -203,52 +204,65 @@ def near_duplicates(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks
     return fps.join(of.join(least, "label").select("fp", "component_id", "label"), "fp")
 
 
-def _sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc, th, c, h, fp) of ``docs`` (doc, th, text): the shingle set's name, the set, its fingerprint. A task gives a set and fingerprint once, then nulls."""
+def _sketches(texts: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc, th, c, n, fp, small, bits) of ``texts`` (doc, th, text): the shingle set's name and size, its fingerprint and bitmaps. A task gives the last three once for each set, then nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hashed = Words()
         for b in batches:
-            names, sets, fps = [], [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                h = np.unique(_hashes(t or b"", shingle))
-                name = xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63)
+            names, sizes, fps, small, bits = [], [], [], [], []
+            for h in shingle_sets([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], shingle, hashed):
+                name = name_of(h)
                 new = name not in seen
                 seen.add(name)
                 names.append(name)
-                sets.append(h.tobytes() if new else None)
+                sizes.append(len(h))
                 fps.append(_sum(h, words) if new else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(sets, pa.binary()), pa.array(fps, pa.binary())], ["doc", "th", "c", "h", "fp"])
+                small.append(parity(h, 128) if new else None)
+                bits.append(parity(h) if new else None)
+            more = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, small, bits))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["doc", "th", "c", "n", "fp", "small", "bits"])
 
-    return docs.transform(map_in_arrow, run, "doc bigint, th bigint, c bigint, h binary, fp binary")
+    return texts.select("doc", "th", "text").transform(map_in_arrow, run, "doc bigint, th bigint, c bigint, n bigint, fp binary, small binary, bits binary")
 
 
-def _candidates(sets: DataFrame, words: int, block_bits: int, blocks: int, most: int) -> DataFrame:
-    """Pairs (a, b) of names of ``sets`` (c, fp) whose fingerprints link or are the same."""
-    first = stored(sets.groupBy("fp").agg(F.min("c").alias("first")))
+def _candidates(classes: DataFrame, words: int, block_bits: int, blocks: int, most: int) -> DataFrame:
+    """Pairs (a, b) of names of ``classes`` (c, fp) whose fingerprints link or are the same."""
+    first = stored(classes.groupBy("fp").agg(F.min("c").alias("first")))
     of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"c_{end}"))
     links = ball_edges(first, words, block_bits, blocks, most).distinct().join(of("a"), "a").join(of("b"), "b")
-    same = sets.select("c", "fp").join(first, "fp").where("c <> first")
+    same = classes.select("c", "fp").join(first, "fp").where("c <> first")
     return links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).union(same.select("c", "first"))
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_bits: int = 24, blocks: int = 10, most: int = 48, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row of the least doc_id stays.
 
-    Texts link if the Jaccard similarity of their sets of five-word shingles is
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is
     ``similarity`` or more, so a shingle counts once however often a text
-    repeats it. Each pair is compared by its sets. Fingerprints of 256 bits propose
-    the first ones: those that differ in 48 bits at most, and in two at most of one of
-    ten blocks of 24. An exact search (prefix filtering) then proposes every
-    pair that may be similar enough and isn't in one group yet, so none is missed. Nulls in doc_id sort last; of repeated rows one
-    stays; texts without words are one group. All columns are kept.
+    repeats it; every link is verified by the two sets. Fingerprints of 64 times
+    ``words`` bits propose the first pairs, by ball hashing of ``blocks`` blocks of ``block_bits``: those
+    that differ in ``most`` bits at most. An exact search (prefix filtering) then proposes all
+    pairs that may be similar enough and aren't in one group yet, so none is
+    missed. Nulls in doc_id sort last; of repeated rows one stays; texts without
+    words are one group; an empty table gives an empty result. All columns are
+    kept, whatever their names.
     """
-    keyed = docs.withColumn("loomtext_doc", id_key()).withColumn("loomtext_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = stored(_sets(keyed.select("loomtext_doc", "loomtext_th", "text"), shingle, words))
-    sets = rows.where("h is not null")
-    links = verified(_candidates(sets, words, block_bits, blocks, most), sets, similarity)
-    links = links.union(verified(unlinked(shared_rare(sets, similarity), components(links), similarity), sets, similarity))
-    groups = rows.join(components(links), F.col("c") == F.col("node"), "left").select("doc", "th", F.coalesce("label", "c").alias("label"))
-    stay = groups.groupBy("label").agg(F.min(F.struct(F.col("doc").alias("loomtext_doc"), F.col("th").alias("loomtext_th"))).alias("k")).select("k.*")
     key = ["loomtext_doc", "loomtext_th"]
-    return keyed.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)
+    keyed = docs.withColumn(key[0], id_key()).withColumn(key[1], F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = keyed.select(F.col(key[0]).alias("doc"), F.col(key[1]).alias("th"), "text")
+    rows = stored(_sketches(texts, shingle, words))
+    one = F.struct("n", "fp", "small", "bits", "doc", "th")
+    classes = stored(rows.where("fp is not null").groupBy("c").agg(F.min_by(one, F.struct("doc", "th")).alias("x")).select("c", "x.*"))
+    links = verified(_candidates(classes, words, block_bits, blocks, most), classes, texts, shingle, similarity)
+    near = unlinked(shared_rare(texts, shingle, similarity), classes, components(links), similarity)
+    links = links.union(verified(near, classes, texts, shingle, similarity))
+    groups = rows.join(components(links), F.col("c") == F.col("node"), "left").select("doc", "th", F.coalesce("label", "c").alias("label"))
+    stay = groups.groupBy("label").agg(F.min(F.struct("doc", "th")).alias("k")).select("k.*")
+    times = groups.groupBy("doc", "th").agg(F.count("*").alias("times"))
+    stay = stored(stay.join(times, ["doc", "th"]).select(F.col("doc").alias(key[0]), F.col("th").alias(key[1]), "times"))
+    # rows that are there once need no shuffle of texts
+    once = keyed.join(stay.where("times = 1"), key, "left_semi")
+    again = keyed.join(stay.where("times > 1"), key, "left_semi").dropDuplicates(key)
+    return once.union(again).drop(*key)

@@ -36,7 +36,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LONG_WORD = 255
 
 
-class _Words:
+class Words:
     """Hashes of the words of a run of bytes, by prefix sums of byte values times powers."""
 
     def __init__(self):
@@ -67,7 +67,7 @@ class _Words:
         return start, h
 
 
-def _windows(h: np.ndarray, window: int) -> np.ndarray:
+def windows(h: np.ndarray, window: int) -> np.ndarray:
     """Rabin-Karp hashes of all windows of consecutive word hashes."""
     n = len(h) - window + 1
     acc = np.zeros(max(n, 0), np.uint64)
@@ -76,11 +76,11 @@ def _windows(h: np.ndarray, window: int) -> np.ndarray:
     return mix64(acc)
 
 
-def _hashed(ids: list[int], tags: list[int], texts: list[bytes], words: _Words, window: int):
+def _hashed(ids: list[int], tags: list[int], texts: list[bytes], words: Words, window: int):
     """Hash, id, tag and start of every window of the texts."""
     start, h = words(b"\n".join(texts))
     doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))))
-    w = _windows(h, window)
+    w = windows(h, window)
     n = len(w)
     whole = doc[:n] == doc[window - 1 : window - 1 + n] if n else np.zeros(0, bool)
     first = np.searchsorted(doc, np.arange(len(texts)))
@@ -152,7 +152,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _count_windows(window: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, total = _Words(), [], 0
+        words, held, total = Words(), [], 0
 
         def flush():
             (h, doc, tag, at), later = _seconds(*(np.concatenate(x) for x in zip(*held, strict=True)))
