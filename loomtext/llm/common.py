@@ -28,11 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local one serves a session of one machine (tests); a cluster's raises ValueError."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    path = path or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="loomtext-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -45,13 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for rows that are wide or read column by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomtext-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomtext-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for rows that are wide or read column by column. ``drop_stored`` deletes all of a session's."""
+    path = f"{_tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables that ``stored`` has written in this session: for when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def _trim() -> None:
     """Gives what this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
@@ -61,16 +72,18 @@ def _trim() -> None:
         pass
 
 
-def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str, batch_bytes: int = 4 << 20) -> DataFrame:
-    """``df.mapInArrow(run, kinds)`` in bounded memory, for rows with whole texts.
+def bounded_batches(spark: SparkSession, batch_bytes: int = 4 << 20) -> None:
+    """Lets Arrow batches have about ``batch_bytes`` at most, unless the session has a bound of its own.
 
-    Batches have about ``batch_bytes`` at most, unless the session has a bound of
-    its own (this one stays set for the session, since plans read it when they
-    run). Workers live on between tasks; they return freed memory after each.
+    For applications that run operators over whole texts in little memory, to be
+    called once: the setting is the session's, so operators leave it alone.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_BYTES, None) is None:
-        conf.set(_BATCH_BYTES, str(batch_bytes))
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(batch_bytes))
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+    """``df.mapInArrow(run, kinds)``, for rows with whole texts: workers live on between tasks, so they return freed memory after each."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

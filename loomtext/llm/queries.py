@@ -7,25 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embed, media, mixing, packing, pii, quality, simhash, substring, warc
-from .common import cut, read
+from .common import bounded_batches, cut, read
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts go to Python workers, so batches are bounded."""
+    bounded_batches(spark)
+    return read(spark, sf_dir, "documents")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return substring.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), window=20)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(_documents(spark, sf_dir))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
+    return packing.pack_documents(_documents(spark, sf_dir), capacity=2048)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,18 +39,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(read(spark, sf_dir, "documents"))
+    return media.media_digests(_documents(spark, sf_dir))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fps = cut(simhash.fingerprints(read(spark, sf_dir, "documents"), shingle=3, words=1))
+    fps = cut(simhash.fingerprints(_documents(spark, sf_dir), shingle=3, words=1))
     # the bytes are little-endian: the digits are the reversed bytes
     digits = F.lower(F.concat(*(F.hex(F.substring("fp", i, 1)) for i in range(8, 0, -1))))
     return simhash.near_duplicates(fps).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(pii.protected_spans(read(spark, sf_dir, "documents")))
+    return pii.digests(pii.protected_spans(_documents(spark, sf_dir)))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
