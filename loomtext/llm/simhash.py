@@ -90,10 +90,10 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Union-find whose roots are the least members."""
+    """Union-find that keeps the links that joined anything: a spanning forest."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up, self.links = list(range(n)), []
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -101,8 +101,10 @@ class _Forest:
         return x
 
     def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.links.append((x, y))
 
 
 def _link(members: np.ndarray, fp: np.ndarray, most: int, forest: _Forest) -> None:
@@ -127,8 +129,8 @@ def ball_edges(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks: int
 
     Two fingerprints link if they differ in at most ``most`` bits and some block
     in at most two. Each block emits all variants within one bit. A
-    bucket's task returns a spanning forest of its verified links, at most one
-    row for each fingerprint it holds: nothing that links is left apart.
+    bucket's task returns a spanning forest of its verified links, fewer rows than
+    fingerprints it holds, each of them a link: nothing that links is left apart.
     """
     n = partitions_for(fps)
     top = max(1, (max(1, -(-n // blocks)) - 1).bit_length())
@@ -180,8 +182,7 @@ def ball_edges(fps: DataFrame, words: int = 1, block_bits: int = 64, blocks: int
                         forest.join(k, l)
             for a, k in zip(s[size > 8].tolist(), size[size > 8].tolist(), strict=True):
                 _link(np.sort(row[a : a + k]), fp, most, forest)
-            roots = [(i, r) for i in range(len(fp)) if (r := forest.root(i)) != i]
-            yield table([(fp[i].tobytes(), fp[r].tobytes()) for i, r in roots], _EDGE)
+            yield table([(fp[x].tobytes(), fp[y].tobytes()) for x, y in forest.links], _EDGE)
 
     dealt = fps.select("fp").transform(map_in_arrow, deal, "bucket int, flip binary, fps binary")
     return dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).transform(map_in_arrow, meet, "a binary, b binary")
