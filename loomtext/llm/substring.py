@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Every window of ``window`` words has a 64-bit Rabin-Karp hash (Horner over mixed
-word hashes, modulo 2**64). Map tasks keep one entry for each distinct hash of a
+Every window of ``window`` words has a Rabin-Karp hash of 80 bits: 64 by Horner
+over mixed word hashes, modulo 2**64, and 16 by prefix sums with another base. Map tasks keep one entry for each distinct hash of a
 chunk, its first occurrence, so a passage that a third of all documents share
 costs one entry a chunk; what a chunk already knows to be a repeat is passed on
 as it is. Entries travel as packed blobs to the task that owns their hash, which
@@ -9,9 +9,10 @@ finds each hash's first occurrence and answers with the places of all others.
 The answers meet the texts, again as blobs, by document; overlapping windows
 merge there into maximal removal intervals.
 
-Two windows count as equal if their 64-bit hashes are: among n distinct windows
-a false pair is expected n**2 / 2**65 times (0.0005 for the 135 million windows
-of half a gigabyte of documents).
+Two windows count as equal if their hashes are: among n distinct windows a false
+pair is expected n**2 / 2**81 times (once in 10**8 runs for the 135 million
+windows of half a gigabyte of documents; 300 pairs among the 2.7 * 10**13 of
+100 TB). Rows are told apart by id and a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -76,17 +77,26 @@ def windows(h: np.ndarray, window: int) -> np.ndarray:
     return mix64(acc)
 
 
+def _second(h: np.ndarray, window: int, words: Words) -> np.ndarray:
+    """Sixteen more bits of the windows' hashes, by prefix sums of word hashes times powers of another base."""
+    words.grow(len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * words.powers[: len(h)], out=sums[1:])
+    n = max(len(h) - window + 1, 0)
+    return (mix64((sums[window:] - sums[:-window])[:n] * words.inverse[:n]) >> np.uint64(48)).astype(np.uint16) if n else np.zeros(0, np.uint16)
+
+
 def _hashed(ids: list[int], tags: list[int], texts: list[bytes], words: Words, window: int):
-    """Hash, id, tag and start of every window of the texts."""
+    """Hash, its second part, id, tag and start of every window of the texts."""
     start, h = words(b"\n".join(texts))
     doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))))
-    w = windows(h, window)
+    w, g = windows(h, window), _second(h, window, words)
     n = len(w)
     whole = doc[:n] == doc[window - 1 : window - 1 + n] if n else np.zeros(0, bool)
     first = np.searchsorted(doc, np.arange(len(texts)))
     at = (np.arange(n) - first[doc[:n]])[whole]
     doc = doc[:n][whole]
-    return w[whole], np.array(ids, np.int64)[doc], np.array(tags, np.uint16)[doc], at.astype(np.uint32)
+    return w[whole], g[whole], np.array(ids, np.int64)[doc], np.array(tags, np.int64)[doc], at.astype(np.uint32)
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -107,7 +117,7 @@ def _by_doc(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> bytes:
 
 
 def _from_doc(blob: bytes):
-    ids, tags, n, step = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32)
+    ids, tags, n, step = unpack(blob, np.int64, np.int64, np.uint32, np.uint32)
     n = n.astype(np.int64)
     at = np.cumsum(step.astype(np.int64))
     s = np.cumsum(n) - n
@@ -115,18 +125,22 @@ def _from_doc(blob: bytes):
     return np.repeat(np.cumsum(ids), n), np.repeat(tags, n), at
 
 
-def _seconds(h, doc, tag, at):
+def _seconds(h, g, doc, tag, at):
     """Which windows have an equal one that starts earlier, and which are a hash's first. Ties of id and start are no repeats."""
     o = np.lexsort((at, doc, h))
-    h, doc, tag, at = h[o], doc[o], tag[o], at[o]
-    s = _runs([h])
+    same = h[o][1:] == h[o][:-1]
+    if (same & (g[o][1:] != g[o][:-1])).any():
+        o = np.lexsort((at, doc, g, h))
+    h, g, doc, tag, at = (x[o] for x in (h, g, doc, tag, at))
+    s = _runs([h, g])
     n = np.diff(np.append(s, len(h)))
     later = (doc != np.repeat(doc[s], n)) | (at != np.repeat(at[s], n))
-    return (h, doc, tag, at), later
+    return (h, g, doc, tag, at), later
 
 
-def _owner(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+def _owner(doc: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    """The part of a row: by id and text, so that many rows of one id, or of none, spread."""
+    return (mix64(doc.astype(np.uint64) * _BASE ^ tag.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 _OUT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary())])
@@ -143,7 +157,7 @@ def _dealt(kind: int, part: np.ndarray, make) -> list[tuple]:
 def _answers(doc, tag, at, n: int) -> list[tuple]:
     o = np.lexsort((at, tag, doc))
     doc, tag, at = doc[o], tag[o], at[o]
-    return _dealt(1, _owner(doc, n), lambda i: _by_doc(doc[i], tag[i], at[i]))
+    return _dealt(1, _owner(doc, tag, n), lambda i: _by_doc(doc[i], tag[i], at[i]))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -155,13 +169,13 @@ def _count_windows(window: int, n: int):
         words, held, total = Words(), [], 0
 
         def flush():
-            (h, doc, tag, at), later = _seconds(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            (h, g, doc, tag, at), later = _seconds(*(np.concatenate(x) for x in zip(*held, strict=True)))
             rows = _answers(doc[later], tag[later], at[later], n) if later.any() else []
             keep = np.flatnonzero(~later)
             keep = keep[np.lexsort((at[keep], tag[keep], doc[keep]))]
-            h, doc, tag, at = h[keep], doc[keep], tag[keep], at[keep]
+            h, g, doc, tag, at = (x[keep] for x in (h, g, doc, tag, at))
             part = (h >> np.uint64(20)) % np.uint64(n)
-            rows += _dealt(0, part.astype(np.int64), lambda i: (b := _by_doc(doc[i], tag[i], at[i])) and len(b).to_bytes(4, "little") + b + h[i].tobytes())
+            rows += _dealt(0, part.astype(np.int64), lambda i: (b := _by_doc(doc[i], tag[i], at[i])) and len(b).to_bytes(4, "little") + len(i).to_bytes(4, "little") + b + h[i].tobytes() + g[i].tobytes())
             held.clear()
             return table(rows, _OUT)
 
@@ -195,10 +209,10 @@ def _find_repeats(n: int):
                 if kind == 1:
                     yield table([(part, 1, body)], _OUT)
                     continue
-                cut = 4 + int.from_bytes(body[:4], "little")
-                held.append((np.frombuffer(body, np.uint64, offset=cut), *_from_doc(body[4:cut])))
+                cut, m = 8 + int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
+                held.append((np.frombuffer(body, np.uint64, m, cut), np.frombuffer(body, np.uint16, m, cut + 8 * m), *_from_doc(body[8:cut])))
         if held:
-            (_, doc, tag, at), later = _seconds(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            (_, _, doc, tag, at), later = _seconds(*(np.concatenate(x) for x in zip(*held, strict=True)))
             if later.any():
                 yield table(_answers(doc[later], tag[later], at[later], n), _OUT)
 
@@ -213,10 +227,10 @@ def _send_texts(n: int):
             size = np.array([len(t) for t in texts], np.int64)
 
             def blob(i):
-                return pack(ids[i], tags[i].astype(np.uint16), null[i], size[i], np.frombuffer(b"".join(texts[k] for k in i), np.uint8))  # noqa: B023
+                return pack(ids[i], tags[i], null[i], size[i], np.frombuffer(b"".join(texts[k] for k in i), np.uint8))  # noqa: B023
 
             if len(texts):
-                yield table(_dealt(2, _owner(ids, n), blob), _OUT)
+                yield table(_dealt(2, _owner(ids, tags, n), blob), _OUT)
 
     return run
 
@@ -248,7 +262,7 @@ def _apply(window: int, with_text: bool):
         s = _runs([doc, tag])
         places = {(int(doc[i]), int(tag[i])): (i, j) for i, j in zip(s, np.append(s[1:], len(doc))[: len(s)], strict=True)}
         for body in packed:
-            ids, tags, null, size, data = unpack(body, np.int64, np.uint16, np.bool_, np.int64, np.uint8)
+            ids, tags, null, size, data = unpack(body, np.int64, np.int64, np.bool_, np.int64, np.uint8)
             rows, data, begin = [], data.tobytes(), 0
             for i, t, no_id, m in zip(ids.tolist(), tags.tolist(), null.tolist(), size.tolist(), strict=True):
                 words = data[begin : begin + m].split()
@@ -284,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     alike. An empty table gives an empty result; other columns aren't read.
     """
     n = partitions_for(docs)
-    tag = (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF)).cast("int").alias("tag")
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
     rows = docs.select(id_key().alias("id"), tag, F.col("text"), F.col("doc_id").isNull().alias("no_id"))
     entries = rows.select("id", "tag", "text").mapInArrow(_count_windows(window, n), _OUT_SQL).repartitionById(n, "part")
     answers = entries.mapInArrow(_find_repeats(n), _OUT_SQL)
