@@ -13,6 +13,7 @@ one task.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,13 +32,26 @@ _REMEMBERED = 1_200_000
 _END_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: A capital sigma's lower case depends on what follows it.
+_SIGMA = "\u03a3".encode()
+
+
+class _Old(dict):
+    """Characters that have been letters since Unicode 3.2, looked up once each."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = unicodedata.ucd_3_2_0.category(c)[0] == "L"
+        return found
+
+
 class _Encoder:
     """Token ids of texts, as little-endian bytes.
 
     The default vocabulary drops white space before it looks for tokens, so the
     ids of a text are those of its words in turn, and a worker remembers the
     words it has met. A new word of letters and closing marks is its letters'
-    ids and its marks'. Letters are encoded many words at a time, with a digit,
+    ids and its marks', unless a letter's lower case isn't letters alone, or depends on
+    what follows. Letters are encoded many words at a time, with a digit,
     whose one id occurs in no word of letters, between them. A tokenizer of
     another path gets whole texts.
     """
@@ -51,26 +65,28 @@ class _Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, _REMEMBERED
+        self.tokenizer, self.known, self.most, self.old = Tokenizer.from_file(path), {}, _REMEMBERED, _Old()
         if self.by_word:
             (self.digit,) = self.ids(["0"])[0]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def letters(self, text: str) -> bool:
+        """Whether the tokenizer is sure to take ``text`` for one run of letters, in lower case too, whatever its version of Unicode."""
+        return text.isalpha() and text.lower().isalpha() and all(self.old[c] for c in text)
+
     def learn(self, new: list[bytes]) -> None:
         known, whole, letters, later = self.known, [], {}, []
         for word in new:
             core = word.rstrip(_END_MARKS)
             if core.isalpha():  # ASCII letters
                 low = core.lower()
+            elif self.letters(core.decode()) and not (len(core) < len(word) and _SIGMA in core):
+                low = core
             else:
-                text = core.decode()
-                low = text if "\u03a3" in text else text.lower()  # a capital sigma's lower case depends on its place
-                if not (text.isalpha() and low.isalpha()):
-                    whole.append(word)
-                    continue
-                low = low.encode()
+                whole.append(word)
+                continue
             marks = word[len(core) :]
             if low not in known:
                 letters[low] = None
@@ -158,16 +174,19 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes within the capacity."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """The most valuable multiset of sizes within the capacity. As many capacities as the least size has are settled at once."""
     low = int(sizes.min())
-    order = np.argsort(sizes)
-    s, v = sizes[order], value[order]
-    for c in range(low, capacity + 1):
-        k = np.searchsorted(s, c, "right")
-        gain = best[c - s[:k]] + v[:k]
-        i = int(gain.argmax())
-        best[c], pick[c] = (gain[i], order[i]) if gain[i] > best[c - 1] else (best[c - 1], -1)
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(low, capacity + 1, low):
+        at = np.arange(c, min(c + low, capacity + 1))
+        rest = at[None, :] - sizes[:, None]
+        gain = np.where(rest >= 0, best[np.maximum(rest, 0)] + value[:, None], -1.0)
+        i = gain.argmax(axis=0)
+        top = gain[i, np.arange(len(at))]
+        # more room is never worth less
+        own = np.maximum.accumulate(np.append(best[c - 1], top))
+        new = own[1:] > own[:-1]
+        best[at], pick[at] = own[1:], np.where(new, i, -1)
     count, c = np.zeros(len(sizes), np.int64), capacity
     while c >= low:
         if pick[c] < 0:
@@ -178,18 +197,24 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns of ``sizes`` and how often to use each: the configuration program by column generation, rounded down."""
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    inverse = np.linalg.inv(basis)
+    for k in range(rounds):
+        if k % 50 == 49:  # what rounding errors have added up to
+            inverse = np.linalg.inv(basis)
         worth, column = _knapsack(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
-        if worth <= 1 + 1e-9:
+        if worth <= 1 + 1e-6:
             break
         step, x = inverse @ column, inverse @ need
-        ratio = np.where(step > 1e-12, x / np.where(step > 1e-12, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    used = np.floor(np.linalg.solve(basis, need) + 1e-9).astype(np.int64)
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        j = int(ratio.argmin())
+        basis[:, j] = column
+        row = inverse[j] / step[j]
+        inverse -= np.outer(step, row)
+        inverse[j] = row
+    used = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-9).astype(np.int64)
     return [(basis[:, j].astype(np.int64), int(n)) for j, n in enumerate(used) if n > 0]
 
 
@@ -241,10 +266,55 @@ def _substitute(pattern: list[int], times: int, have: np.ndarray, capacity: int)
         todo.append((used, free - length, k + 1, [*items, (length, 1)]))
 
 
-def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.3) -> Plan:
+def _best_fit(left: Counter, open_runs: dict[int, list], capacity: int) -> None:
+    """Puts ``left`` (length: how many) into the room of ``open_runs`` (free room: runs) and of new sequences, largest first: a sequence takes all copies it has room for before the next one opens."""
+    for length in sorted(left, reverse=True):
+        n = left[length]
+        for free in sorted(f for f in open_runs if f >= length):
+            if not n:
+                break
+            runs = open_runs[free]
+            while n and runs:
+                count, items = runs.pop()
+                fit = free // length
+                used = min(count, n // fit)
+                if used:
+                    open_runs[free - fit * length].append((used, [*items, (length, fit)]))
+                    n -= used * fit
+                if used < count and n:
+                    open_runs[free - n * length].append((1, [*items, (length, n)]))
+                    used, n = used + 1, 0
+                if used < count:
+                    runs.append((count - used, items))
+            if not runs:
+                del open_runs[free]
+        fit = capacity // length
+        if n >= fit:
+            open_runs[capacity - fit * length].append((n // fit, [(length, fit)]))
+        if n % fit:
+            open_runs[capacity - n % fit * length].append((1, [(length, n % fit)]))
+
+
+def _refit(open_runs: dict[int, list], room: float, capacity: int) -> dict[int, list]:
+    """The runs with those that have ``room`` or more free taken apart and best-fitted anew."""
+    kept, left = defaultdict(list), Counter()
+    for free, runs in open_runs.items():
+        if free < room:
+            kept[free] = list(runs)
+        else:
+            for count, items in runs:
+                for length, copies in items:
+                    left[length] += count * copies
+    _best_fit(left, kept, capacity)
+    return kept
+
+
+def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.3, refits: tuple[float, ...] = (0.004, 0.008, 0.016, 0.032, 0.064)) -> Plan:
     """Which lengths share a sequence, from how often each occurs.
 
-    Lengths above ``small`` of the capacity are grouped, the rest fill gaps. The
+    Lengths above ``small`` of the capacity are grouped, the rest fill gaps. Then
+    the sequences that have some share of the capacity free, one of ``refits``,
+    are best-fitted anew, if that makes them fewer. The
     work depends on the number of different lengths alone.
     """
     plan, open_runs = Plan(capacity), defaultdict(list)
@@ -274,32 +344,9 @@ def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 6
                 open_runs[capacity - sum(length for length, _ in items)].append((n, items))
     for length in np.flatnonzero(have).tolist():
         left[length] = int(have[length])
-    # best fit, largest first: a sequence takes all copies it has room for before the next one opens
-    for length in sorted(left, reverse=True):
-        n = left[length]
-        for free in sorted(f for f in open_runs if f >= length):
-            runs = open_runs[free]
-            while n and runs:
-                count, items = runs.pop()
-                fit = free // length
-                used = min(count, n // fit)
-                if used:
-                    open_runs[free - fit * length].append((used, [*items, (length, fit)]))
-                    n -= used * fit
-                if used < count and n:
-                    open_runs[free - n * length].append((1, [*items, (length, n)]))
-                    used, n = used + 1, 0
-                if used < count:
-                    runs.append((count - used, items))
-            if not runs:
-                del open_runs[free]
-            if not n:
-                break
-        fit = capacity // length
-        if n >= fit:
-            open_runs[capacity - fit * length].append((n // fit, [(length, fit)]))
-        if n % fit:
-            open_runs[capacity - n % fit * length].append((1, [(length, n % fit)]))
+    _best_fit(left, open_runs, capacity)
+    size = lambda runs: sum(count for r in runs.values() for count, _ in r)
+    open_runs = min([open_runs, *(_refit(open_runs, r * capacity, capacity) for r in refits)], key=size)
     for free in sorted(open_runs):
         for count, items in open_runs[free]:
             plan.add(count, items)
