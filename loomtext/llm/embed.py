@@ -3,7 +3,8 @@
 Equal vectors are one class and travel once. Each table gives a class the signs
 of its vector against random hyperplanes; classes with the same signs share a
 bucket, where cosines are computed in blocks and pairs counted, not listed. A
-pair counts in the first table that holds it. Large buckets are split into
+pair counts in the first table that holds it, which tasks tell by signing its
+vectors for the tables before. Large buckets are split into
 blocks of which each pair is a task of its own.
 """
 
@@ -24,9 +25,12 @@ _SEED = 20_240_229
 _EDGE = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
-def tables_for(n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Signs of a table and tables: about 64 vectors share a bucket by chance; pairs at ``cosine`` are found with probability ``recall``, closer ones oftener."""
-    bits = min(30, max(4, math.ceil(math.log2(max(n, 1) / 64))) if n > 1024 else 4)
+def tables_for(n: int, cosine: float, recall: float, bucket: int = 512) -> tuple[int, int]:
+    """Signs of a table and tables: about ``bucket`` vectors share a bucket by chance; pairs at ``cosine`` are found with probability ``recall``, closer ones oftener.
+
+    Vectors travel once for each table, cosines are cheap: so few tables of full buckets.
+    """
+    bits = min(30, max(4, math.ceil(math.log2(max(n, 1) / bucket))) if n > 16 * bucket else 4)
     hit = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -35,95 +39,111 @@ def _planes(dim: int, bits: int, n_tables: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([_SEED, dim, bits])).standard_normal((n_tables * bits, dim))
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec: the vector as bytes of 32-bit floats; null if it links with nothing (null id, null or empty vector, null or non-finite component, all zero)."""
+def _usable(vectors: DataFrame, kind: np.dtype) -> DataFrame:
+    """vec_id and vec: the vector as bytes of ``kind``; null if it links with nothing (null id, null or empty vector, null or non-finite component, all zero)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ok = i is not None and v and None not in v
-                x = np.array(v, np.float32) if ok else np.zeros(1, np.float32)
-                out.append((x + np.float32(0)).tobytes() if ok and np.isfinite(x).all() and x.any() else None)
+            v = b.column(1)
+            size = np.diff(v.offsets.to_numpy())
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)  # nulls are NaN, minus zero is zero
+            row = np.repeat(np.arange(len(size)), size)
+            bad = np.bincount(row, ~np.isfinite(x), len(size)) + (np.bincount(row, x != 0, len(size)) == 0)
+            raw, ends = x.tobytes(), np.cumsum(size) * kind.itemsize
+            ok = (bad == 0) & b.column(0).is_valid().to_numpy(zero_copy_only=False) & v.is_valid().to_numpy(zero_copy_only=False)
+            out = [raw[e - n : e] if k else None for e, n, k in zip(ends.tolist(), (size * kind.itemsize).tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "vec_id bigint, vec binary")
+    name = "float" if kind.itemsize == 4 else "double"
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{name}>")).mapInArrow(run, "vec_id bigint, vec binary")
+
+
+class _Signs:
+    """Numbers of vectors' buckets in the first tables."""
 
+    def __init__(self, bits: int):
+        self.bits, self.planes = bits, {}
 
-def _signed(classes: DataFrame, bits: int, n_tables: int) -> DataFrame:
+    def __call__(self, x: np.ndarray, n_tables: int) -> np.ndarray:
+        dim = x.shape[1]
+        if len(self.planes.get(dim, ())) < n_tables * self.bits:
+            self.planes[dim] = _planes(dim, self.bits, n_tables)
+        up = x @ self.planes[dim][: n_tables * self.bits].T > 0
+        return (up.reshape(len(x), n_tables, self.bits) * (1 << np.arange(self.bits, dtype=np.int64))).sum(axis=2)
+
+
+def _signed(classes: DataFrame, bits: int, n_tables: int, kind: np.dtype) -> DataFrame:
     """``classes`` (rep, n, vec) with signs, an array of one number for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weight = 1 << np.arange(bits, dtype=np.int64)
+        sign = _Signs(bits)
         for b in batches:
             vecs = b.column(2).to_pylist()
             signs = np.zeros((len(vecs), n_tables), np.int64)
-            for dim in {len(v) // 4 for v in vecs}:
-                at = [i for i, v in enumerate(vecs) if len(v) == 4 * dim]
-                if dim not in planes:
-                    planes[dim] = _planes(dim, bits, n_tables)
-                x = np.frombuffer(b"".join(vecs[i] for i in at), np.float32).reshape(-1, dim).astype(np.float64)
-                signs[at] = ((x @ planes[dim].T > 0).reshape(len(at), n_tables, bits) * weight).sum(axis=2)
+            for size in {len(v) for v in vecs}:
+                at = [i for i, v in enumerate(vecs) if len(v) == size]
+                x = np.frombuffer(b"".join(vecs[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)
+                for lo in range(0, len(at), 4096):
+                    signs[at[lo : lo + 4096]] = sign(x[lo : lo + 4096], n_tables)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(signs), pa.list_(pa.int64()))], ["rep", "n", "vec", "signs"])
 
     return classes.select("rep", "n", "vec").mapInArrow(run, "rep bigint, n bigint, vec binary, signs array<bigint>")
 
 
-def _links(x, y, sx, sy, t: int, cosine: float, same: bool, rows: int = 512):
-    """Per block of rows: where cosines reach the bound and, of those, which pairs no earlier table holds."""
+def _links(x, y, sx, sy, cosine: float, same: bool, rows: int = 512):
+    """Per block of rows: where cosines reach the bound and, of those, which pairs no earlier table (sx, sy: their signs) holds."""
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
     for a in range(0, len(x), rows):
         near = (x[a : a + rows] @ y.T) / (nx[a : a + rows, None] * ny[None, :]) >= cosine
         if same:
             near[np.arange(near.shape[0]), np.arange(a, a + near.shape[0])] = False
         new = near.copy()
-        for k in range(t):
+        for k in range(sx.shape[1]):
             if not new.any():
                 break
             new &= sx[a : a + rows, k, None] != sy[None, :, k]
         yield a, near, new
 
 
-def _meet(cosine: float):
-    from .simhash import _Forest
-
-    def bucket(t, rep, n, x, signs, block):
-        forest, links = _Forest(len(rep)), np.zeros(len(rep), np.int64)
-        sides = [np.flatnonzero(block == k) for k in np.unique(block)]
-        i, j = sides[0], sides[-1]
-        for a, near, new in _links(x[i], x[j], signs[i], signs[j], t, cosine, len(sides) == 1):
-            links[i[a : a + len(near)]] += new @ n[j]
-            if len(sides) > 1:
-                links[j] += n[i[a : a + len(near)]] @ new
-            for r in np.flatnonzero(near.any(axis=1)).tolist():
-                own = int(i[a + r])
-                first = True
-                for c in j[near[r]].tolist():
-                    if first or forest.root(c) != forest.root(own):
-                        forest.join(own, c)
-                    first = False
-        return [(int(rep[k]), int(links[k]), int(rep[forest.root(k)])) for k in range(len(rep)) if links[k] or forest.root(k) != k]
-
+def _bucket(t: int, rep, n, x, block, sign: _Signs, cosine: float) -> list[tuple[int, int, int]]:
+    """(rep, links, root) of a bucket's classes, in order of rep: links with class members that no earlier table gives, and the least class that it reaches here."""
+    links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    signs = sign(x, t) if t else np.zeros((len(x), 0), np.int64)
+    sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+    i, j = sides[0], sides[-1]
+    for a, near, new in _links(x[i], x[j], signs[i], signs[j], cosine, len(sides) == 1):
+        own = i[a : a + len(near)]
+        links[own] += new @ n[j]
+        if len(sides) > 1:
+            links[j] += n[own] @ new
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            there = label[j[near[r]]]
+            if (there != label[own[r]]).any():
+                met = np.unique(np.append(there, label[own[r]]))
+                label[np.isin(label, met)] = met[0]
+    return [(int(rep[k]), int(links[k]), int(rep[label[k]])) for k in np.flatnonzero((links > 0) | (label != np.arange(len(rep)))).tolist()]
+
+
+def _meet(cosine: float, bits: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held, vecs, sign = [], [], _Signs(bits)
         for b in batches:
-            names = b.schema.names
-            cols = {c: b.column(names.index(c)).to_pylist() for c in names}
-            for key in zip(cols["t"], cols["sign"], cols["lo"], cols["hi"], map(len, cols["vec"]), strict=True):
-                held.setdefault(key, [])
-            for i, key in enumerate(zip(cols["t"], cols["sign"], cols["lo"], cols["hi"], map(len, cols["vec"]), strict=True)):
-                held[key].append((cols["rep"][i], cols["n"][i], cols["block"][i], cols["vec"][i], cols["signs"][i]))
-        for (t, _, lo, hi, size), rows in held.items():
-            if len(rows) < 2:
-                continue
-            rows.sort(key=lambda r: r[0])
-            rep, n, block = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-            if lo != hi and len(set(block.tolist())) < 2:
+            held.append(np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in range(7)]))
+            vecs += b.column(7).to_pylist()
+        if not vecs:
+            return
+        rows = np.concatenate(held)
+        size = np.array([len(v) for v in vecs], np.int64)
+        t, at, lo, hi, block, rep, n = rows.T
+        o = np.lexsort((rep, size, hi, lo, at, t))
+        key = np.column_stack([t, at, lo, hi, size])[o]
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(o)], strict=True):
+            k = o[a:z]
+            if len(k) < 2 or (lo[k[0]] != hi[k[0]] and (block[k] == block[k[0]]).all()):
                 continue
-            x = np.frombuffer(b"".join(r[3] for r in rows), np.float32).reshape(-1, size // 4).astype(np.float64)
-            yield table(bucket(t, rep, n, x, np.array([r[4] for r in rows], np.int64), block), _EDGE)
-            rows.clear()
+            x = np.frombuffer(b"".join(vecs[i] for i in k.tolist()), kind).reshape(len(k), -1).astype(np.float64)
+            yield table(_bucket(int(t[k[0]]), rep[k], n[k], x, block[k], sign, cosine), _EDGE)
 
     return run
 
@@ -139,20 +159,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     one class, whose members each count. Rows of equal vec_id are one vertex in
     components. An empty table gives an empty result; other columns aren't read.
     """
-    rows = stored(_usable(vectors))
+    # doubles stay doubles
+    kind = np.dtype("<f8") if dict(vectors.dtypes)["embedding"] == "array<double>" else np.dtype("<f4")
+    rows = stored(_usable(vectors, kind))
     classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(classes)
     bits, n_tables = tables_for(classes.count(), cosine, recall)
     n = partitions_for(classes, max(1 << 16, (64 << 20) // n_tables))
-    signed = stored(_signed(classes, bits, n_tables))
-    spread = signed.select("*", F.posexplode("signs").alias("t", "sign"))
+    signed = stored(_signed(classes, bits, n_tables, kind))
+    spread = signed.select("rep", "n", "vec", F.posexplode("signs").alias("t", "sign"))
     # large buckets are cut into blocks; a class meets each block of its bucket in another task
-    large = signed.select(F.posexplode("signs").alias("t", "sign")).groupBy("t", "sign").agg(F.count("*").alias("m")).where(F.col("m") > bucket_rows)
+    large = stored(signed.select(F.posexplode("signs").alias("t", "sign")).groupBy("t", "sign").agg(F.count("*").alias("m")).where(F.col("m") > bucket_rows))
     blocks = F.coalesce(F.ceil(F.col("m") / bucket_rows), F.lit(1)).cast("int")
     spread = spread.join(large, ["t", "sign"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = spread.select("t", "sign", "lo", "hi", "block", "rep", "n", "vec", "signs").repartitionById(n, F.pmod(F.xxhash64("t", "sign", "lo", "hi"), F.lit(n)).cast("int"))
-    met = stored(dealt.mapInArrow(_meet(cosine), "rep bigint, links bigint, root bigint"))
+    dealt = spread.select("t", "sign", "lo", "hi", "block", "rep", "n", "vec").repartitionById(n, F.pmod(F.xxhash64("t", "sign", "lo", "hi"), F.lit(n)).cast("int"))
+    met = stored(dealt.mapInArrow(_meet(cosine, bits, kind), "rep bigint, links bigint, root bigint"))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(met, "rep", "root")
     of = classes.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
