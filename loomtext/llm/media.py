@@ -2,10 +2,12 @@
 
 A payload is cut into access units, each one elementary packet (PES) with a
 presentation timestamp; units that begin a group are random-access points and
-carry a clock reference. Program tables precede each group. The parser follows
-the association table to the map table to the elementary streams, checks sync
-bytes, section checksums and continuity counters, drops repeated packets, and
-puts the elementary packets together again.
+carry a clock reference. Program tables precede each group. The parser puts
+sections together over any number of packets, follows every version of the
+association table to the map tables to the elementary streams, checks sync
+bytes, section checksums and continuity counters (a break that a packet
+announces is none), drops repeated packets, and puts the elementary packets
+together again.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_in_arrow, stored, table
 
 PACKET, PMT_PID, ES_PID, PRIVATE_DATA, PRIVATE_STREAM = 188, 0x1000, 0x100, 0x06, 0xBD
 #: Bytes of an access unit, units of a group, ticks (of 90 kHz) of a unit.
@@ -112,18 +114,40 @@ class Stream:
     data: bytes = b""
 
 
-def _read_section(payload: bytes, table_id: int) -> bytes:
-    at = 1 + payload[0]
-    if payload[at] != table_id:
-        raise ValueError(f"section {payload[at]}, not {table_id}")
-    end = at + 3 + (int.from_bytes(payload[at + 1 : at + 3], "big") & 0xFFF)
-    if crc32_mpeg(payload[at:end]):
-        raise ValueError("a section's checksum is wrong")
-    return payload[at + 8 : end - 4]
+def _sections(pk: np.ndarray, body_at: np.ndarray, start: np.ndarray, rows: np.ndarray, table_id: int) -> Iterator[bytes]:
+    """Bodies of the current sections with ``table_id`` in packets ``rows``, in order; sections may share packets and go on in later ones."""
+    held = None
+    for i in rows.tolist():
+        data = pk[i, body_at[i] :].tobytes()
+        if start[i]:
+            # the pointer says where the first new section begins; what is ahead of it ends the one before
+            data, tail = data[1 + data[0] :], data[1 : 1 + data[0]]
+            if held:
+                yield from _whole(held + tail, table_id)[0]
+            held = b""
+        elif held is None:
+            continue
+        found, held = _whole(held + data, table_id)
+        yield from found
+
+
+def _whole(data: bytes, table_id: int) -> tuple[list[bytes], bytes]:
+    """Bodies of the whole sections that ``data`` begins with, and the rest."""
+    out, at = [], 0
+    while len(data) - at >= 3 and data[at] != 0xFF:
+        end = at + 3 + (int.from_bytes(data[at + 1 : at + 3], "big") & 0xFFF)
+        if end > len(data):
+            break
+        if crc32_mpeg(data[at:end]):
+            raise ValueError("a section's checksum is wrong")
+        if data[at] == table_id and data[at + 5] & 1:  # it applies now
+            out.append(data[at + 8 : end - 4])
+        at = end
+    return out, b"" if data[at : at + 1] == b"\xff" else data[at:]
 
 
 def demux(ts: bytes) -> list[Stream]:
-    """The elementary streams that the first program tables name. Raises ValueError on lost sync, missing tables, bad checksums or packets."""
+    """The elementary streams that the program tables name, in the order in which they do. Raises ValueError on lost sync, missing tables, bad checksums or packets."""
     if not ts or len(ts) % PACKET:
         raise ValueError("not a whole number of packets")
     pk = np.frombuffer(ts, np.uint8).reshape(-1, PACKET)
@@ -132,35 +156,47 @@ def demux(ts: bytes) -> list[Stream]:
     pid = (pk[:, 1].astype(np.int64) & 0x1F) << 8 | pk[:, 2]
     start, control, counter = pk[:, 1] >> 6 & 1, pk[:, 3] >> 4 & 3, pk[:, 3].astype(np.int64) & 15
     field_size = np.where(control & 2, pk[:, 4].astype(np.int64) + 1, 0)
+    if (field_size > PACKET - 4).any():
+        raise ValueError("an adaptation field is longer than its packet")
+    body_at = 4 + field_size
     flags = np.where((control & 2).astype(bool) & (pk[:, 4] > 0), pk[:, 5], 0)
 
-    def first(p: int) -> bytes:
-        rows = np.flatnonzero((pid == p) & (start == 1))
+    def rows_of(p: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Packets with a payload without repeated ones, the counter breaks among them, how many are repeated, how many there were."""
+        rows = np.flatnonzero((pid == p) & (control & 1 == 1))
         if not len(rows):
+            return rows, rows, 0, 0
+        step = np.diff(counter[rows], prepend=counter[rows[0]] - 1) % 16
+        again = (step == 0) & np.append(False, (pk[rows[1:], 4:] == pk[rows[:-1], 4:]).all(axis=1))
+        broken = ~again & (step != 1) & (flags[rows] & 0x80 == 0)
+        return rows[~again], rows[broken], int(again.sum()), len(rows)
+
+    def tables(p: int, table_id: int) -> list[bytes]:
+        found = list(dict.fromkeys(_sections(pk, body_at, start, rows_of(p)[0], table_id)))
+        if not found:
             raise ValueError(f"no table in packets of id {p}")
-        return pk[rows[0], 4 + field_size[rows[0]] :].tobytes()
-
-    pat = _read_section(first(0), 0)
-    programs = [pat[i : i + 4] for i in range(0, len(pat), 4)]
-    out = []
-    for program in programs:
-        if not int.from_bytes(program[:2], "big"):
-            continue
-        body = _read_section(first(int.from_bytes(program[2:], "big") & 0x1FFF), 2)
-        at = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
-        while at < len(body):
-            out.append(Stream(int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF, body[at]))
-            at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
-    for s in out:
-        rows = np.flatnonzero((pid == s.pid) & (control & 1 == 1))
-        step = np.diff(counter[rows], prepend=counter[rows[0]] - 1 if len(rows) else 0) % 16
-        again = (step == 0) & np.append(False, (pk[rows[1:], 4:] == pk[rows[:-1], 4:]).all(axis=1)) if len(rows) else step == 0
-        s.packets, s.repeated, s.breaks = len(rows), int(again.sum()), int((~again & (step != 1)).sum())
-        rows = rows[~again]
-        body = pk[rows][np.arange(PACKET) >= 4 + field_size[rows][:, None]].tobytes()
-        ends = np.cumsum(PACKET - 4 - field_size[rows])
+        return found
+
+    maps: dict[int, None] = {}
+    for pat in tables(0, 0):
+        for i in range(0, len(pat), 4):
+            if int.from_bytes(pat[i : i + 2], "big"):
+                maps[int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF] = None
+    streams: dict[int, Stream] = {}
+    for pmt in maps:
+        for body in tables(pmt, 2):
+            at = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+            while at + 5 <= len(body):
+                es = int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF
+                streams.setdefault(es, Stream(es, body[at])).kind = body[at]
+                at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
+    for s in streams.values():
+        rows, broken, s.repeated, s.packets = rows_of(s.pid)
+        s.breaks = len(broken)
+        body = pk[rows][np.arange(PACKET) >= body_at[rows][:, None]].tobytes()
+        ends = np.cumsum(PACKET - body_at[rows])
         begins = np.flatnonzero(start[rows])
-        edges = [*(ends[begins] - (PACKET - 4 - field_size[rows[begins]])).tolist(), len(body)]
+        edges = [*(ends[begins] - (PACKET - body_at[rows[begins]])).tolist(), len(body)]
         pieces, offset = [], 0
         for i, at, end in zip(begins.tolist(), edges[:-1], edges[1:], strict=True):
             if body[at : at + 3] != b"\x00\x00\x01" or end - at < 9:
@@ -177,7 +213,7 @@ def demux(ts: bytes) -> list[Stream]:
             offset += len(data)
             pieces.append(data)
         s.data = b"".join(pieces)
-    return out
+    return list(streams.values())
 
 
 def padded(text: str | bytes | None) -> bytes:
@@ -195,7 +231,7 @@ def media_column(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(media, pa.binary())], [*keep, "media"])
 
     rows = docs.select(*keep, F.col("text").alias("loomtext_text"))
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", media binary")
+    return rows.transform(map_in_arrow, run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", media binary")
 
 
 def access_units(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -211,7 +247,7 @@ def access_units(media: DataFrame, key: str = "doc_id", column: str = "media") -
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *out.columns], [key, *schema.names])
 
     kind = dict(media.dtypes)[key]
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, pid int, unit int, pts bigint, random_access boolean, start bigint, size bigint, breaks bigint")
+    return media.select(key, column).transform(map_in_arrow, run, f"`{key}` {kind}, pid int, unit int, pts bigint, random_access boolean, start bigint, size bigint, breaks bigint")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -219,23 +255,26 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     doc_id, n_bytes (of the text), payload_bytes, payload_sha256, tail_crc32 (the
     last 64 bytes), media_bytes, media_sha256, feature: the stream's id and type,
-    packets, counter breaks, units, random-access points, last timestamp. Streams
-    are made, read back and dropped document by document. A null or empty text is
-    64 zero bytes; null ids and repeated rows come back as given; other columns
-    aren't read.
+    packets, counter breaks, units, random-access points, last timestamp, and the
+    CRC-32 of all units as timestamp:random access:offset. The streams are
+    written as a table with a media column, and all but n_bytes comes from
+    reading that table. A null or empty text is 64 zero bytes; null ids and
+    repeated rows come back as given; other columns aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ts = mux(padded(text))
+            for doc, n_bytes, ts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 (s,) = demux(ts)
                 points = sum(u[1] for u in s.units)
-                feature = f"pid={s.pid};type={s.kind};packets={s.packets};breaks={s.breaks};units={len(s.units)};points={points};last_pts={s.units[-1][0]}"
-                rows.append((doc, len(text or b""), len(s.data), hashlib.sha256(s.data).hexdigest(), zlib.crc32(s.data[-64:]), len(ts), hashlib.sha256(ts).hexdigest(), feature))
+                units = zlib.crc32(",".join(f"{pts}:{point:d}:{at}" for pts, point, at, _ in s.units).encode())
+                feature = f"pid={s.pid};type={s.kind};packets={s.packets};breaks={s.breaks};units={len(s.units)};points={points};last_pts={s.units[-1][0]};units_crc32={units}"
+                rows.append((doc, n_bytes, len(s.data), hashlib.sha256(s.data).hexdigest(), zlib.crc32(s.data[-64:]), len(ts), hashlib.sha256(ts).hexdigest(), feature))
             yield table(rows, schema)
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    media = stored(media_column(rows, keep=("doc_id", "n_bytes")), compression="zstd")
     kinds = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+    return media.transform(map_in_arrow, run, kinds)
