@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in ``KINDS``, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and _luhn(digits):
@@ -115,8 +115,10 @@ def _term_documents(docs: DataFrame, terms: DataFrame, most_broadcast: int) -> D
     Tasks count first. Up to ``most_broadcast`` terms go to all tasks as a set;
     more are joined to the counts of all terms instead.
     """
-    few = terms.limit(most_broadcast + 1).collect() if most_broadcast else []
-    chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in few)) if 0 < len(few) <= most_broadcast else None
+    few = terms.limit(most_broadcast + 1).collect()
+    if not few:
+        return terms.select("term", F.lit(0).cast("long").alias("n_term"))
+    chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in few)) if len(few) <= most_broadcast else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -128,7 +130,7 @@ def _term_documents(docs: DataFrame, terms: DataFrame, most_broadcast: int) -> D
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                have = set(_TERM.findall((text or "").lower()))
+                have = {w.lower() for w in set(_TERM.findall(text or ""))}
                 counts.update(have & chosen.value if chosen else have)
                 if len(counts) > 500_000:
                     yield flush()
@@ -145,28 +147,42 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remov
     documents, which hold a pair wherever its parts stand; a pair must occur in ``min_texts`` different texts, so that copies
     are no evidence. A pair's, a term's and an entity's documents are counted
     over the whole corpus.
+
+    Only pairs that can reach the lower threshold are made: as no pair is in more
+    documents than its entity, a term of over n * (n_entity / n) ** generalise
+    documents can't disclose it. So a text of many entities and words gives few pairs.
     """
-    n = found.count()
-    near = found.select(id_key().alias("doc"), "th", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms"))
-    entities = near.groupBy("entity").agg(F.count_distinct("doc", "th").alias("n_entity"), (F.min("th") != F.max("th")).alias("several"))
-    entities = entities.where("several") if min_texts >= 2 else entities
-    pairs = near.join(entities.select("entity"), "entity", "left_semi").dropDuplicates(["doc", "th", "entity"]).select("th", "entity", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= min_texts)
-    pairs = stored(pairs)
-    terms = _term_documents(docs, pairs.select("term").distinct(), most_broadcast)
-    rows = pairs.join(terms, "term").join(entities.select("entity", "n_entity"), "entity")
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / F.col("n_term") / F.col("n_entity"))
-    rows = rows.withColumn("disclosure", pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).where(F.col("disclosure") >= generalise)
+    n = float(found.count())
+    key = [id_key().alias("doc"), "th"]
+    seen = found.select(*key, F.explode("entities").alias("entity")).distinct()
+    entities = seen.groupBy("entity", "th").agg(F.count("*").alias("m")).groupBy("entity").agg(F.sum("m").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    entities = stored(entities.select("entity", "n_entity"))
+    held = seen.join(entities, "entity").groupBy("doc", "th").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    words = found.select(*key, F.array_distinct("terms.term").alias("terms")).dropDuplicates(["doc", "th"])
+    # stored with the largest number, so that a text's entities aren't carried along when its words are rows
+    largest = F.array_max(F.transform("entities", lambda e: e["n_entity"])).alias("largest")
+    held = stored(held.join(words, ["doc", "th"]).select("doc", "th", "entities", "terms", largest))
+    most = lambda n_entity: F.lit(n) * F.pow(n_entity / F.lit(n), F.lit(generalise)) * (1 + 1e-9)
+    common = held.select("th", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    terms = stored(_term_documents(docs, stored(common.select("term")), most_broadcast))
+    # a text's few possible terms first, its entities after them: its entities aren't repeated for each of its words
+    some = held.select("doc", "th", "largest", F.explode("terms").alias("term")).join(terms, "term").where(F.col("n_term") <= most(F.col("largest")))
+    some = some.groupBy("doc", "th").agg(F.collect_list(F.struct("term", "n_term")).alias("some"))
+    pairs = some.join(held.select("doc", "th", "entities"), ["doc", "th"]).select("th", "entities", F.explode("some").alias("t"))
+    pairs = pairs.select("th", "t.term", "t.n_term", F.explode(F.filter("entities", lambda e: F.col("t.n_term") <= most(e["n_entity"]))).alias("e"))
+    pairs = pairs.groupBy("e.entity", "e.n_entity", "term", "n_term", "th").agg(F.count("*").alias("m"))
+    rows = pairs.groupBy("entity", "n_entity", "term", "n_term").agg(F.sum("m").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    pmi = F.log2(F.col("n_both") * F.lit(n) / F.col("n_term") / F.col("n_entity"))
+    rows = rows.withColumn("disclosure", pmi / F.log2(F.lit(n) / F.col("n_entity"))).where(F.col("disclosure") >= generalise)
     return rows.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised").alias("action"))
 
 
 def _added(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc, th, added): the spans of disclosing terms, in order; a place that several rules name is removed if one of them says so."""
-    near = found.select(id_key().alias("doc"), "th", F.explode("entities").alias("entity"), "terms").join(rules.select("entity").distinct(), "entity", "left_semi")
-    near = near.select("doc", "th", "entity", F.explode("terms").alias("t"))
-    hits = near.select("doc", "th", "entity", "t.term", "t.start", "t.end").join(rules, ["entity", "term"])
-    places = hits.groupBy("doc", "th", "start", "end").agg(F.max("action").alias("action"))
-    return places.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
+    """(doc, th, added): the spans of disclosing terms, in order; a term that several rules of a text name is removed if one of them says so."""
+    key = [id_key().alias("doc"), "th"]
+    ruled = found.select(*key, F.explode("entities").alias("entity")).join(rules, "entity").groupBy("doc", "th", "term").agg(F.max("action").alias("action"))
+    places = found.where("size(terms) > 0").select(*key, F.explode("terms").alias("t")).select("doc", "th", "t.*").join(ruled, ["doc", "th", "term"])
+    return places.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("added"))
 
 
 def protected_spans(docs: DataFrame, **how) -> DataFrame:
@@ -174,7 +190,8 @@ def protected_spans(docs: DataFrame, **how) -> DataFrame:
 
     A null text counts as empty. Rows are told apart by doc_id and text; repeated
     rows have the same spans, null ids come back null. An empty table gives an
-    empty result; other columns aren't read.
+    empty result; other columns aren't read. A text's own spans and terms are one
+    row, so that they must fit a task.
     """
     found = stored(find(docs))
     rules = stored(disclosing(docs, found, **how))
@@ -211,10 +228,11 @@ def sanitised_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def digests(protected: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans (kind:start:end, by kind and start, terms last) of ``protected_spans``; native."""
+    """doc_id, counts by kind, base_sha256 and spans (kind:start:end, by kind and start; generalised and removed terms come last) of ``protected_spans``; native."""
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.array_join(F.transform("spans", line), ",")
-    more = F.transform("added", lambda a: F.concat_ws(":", F.lit("term"), a["start"], a["end"]))
+    more = F.array_sort(F.transform("added", lambda a: F.struct(a["action"].alias("kind"), a["start"].alias("start"), a["end"].alias("end"))))
+    more = F.transform(more, line)
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [of(k).alias(f"n_{k}") for k in KINDS]
     return protected.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.concat(F.transform("spans", line), more), ",").alias("spans"))
