@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
 A record's nested field paths, sorted and hashed, select a declarative mapping
-that says where its turns are. Tables are fingerprinted once by their schema,
+that says where its turns are: of the mappings whose paths it all has, the one
+with most of them, so that further fields don't matter. Tables are fingerprinted once by their schema,
 JSON records one by one. Turns become segments of a template that marks roles
 and escapes control strings reversibly; a conversation's text is its segments
 in order, so a conversation of any length is written and read as a stream.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import partitions_for, table
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,17 @@ def fingerprint(paths: Iterable[str]) -> str:
     return xxhash.xxh64_hexdigest("\n".join(sorted(_KNOWN.intersection(paths))))
 
 
-_BY_PRINT = {fingerprint(m.paths): m for m in MAPPINGS}
+_BY_PRINT: dict[tuple[str, bool], Mapping | None] = {}
+
+
+def mapping_of(paths: Iterable[str], rows: bool) -> Mapping | None:
+    """The mapping for records of these paths; ``rows``: records may be turns themselves. Of equally good ones the first in order."""
+    paths = _KNOWN.intersection(paths)
+    key = fingerprint(paths), rows
+    if key not in _BY_PRINT:
+        fit = [m for m in MAPPINGS if paths.issuperset(m.paths) and (rows or m.each != "")]
+        _BY_PRINT[key] = max(fit, key=lambda m: len(m.paths), default=None)
+    return _BY_PRINT[key]
 
 
 def value_paths(value, at: str = "") -> set[str]:
@@ -84,21 +95,33 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _text(value) -> str:
+    """A value as text: null empty, other than text as JSON, halves of surrogate pairs as replacement characters."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _LONE.sub("\ufffd", text)
+
+
 def turns_of_record(record) -> tuple[str | None, list[tuple[str, str]]]:
-    """The layout of a parsed record and its turns; (None, []) if no mapping has its fingerprint. Nulls are empty texts."""
-    m = _BY_PRINT.get(fingerprint(value_paths(record)))
-    if m is None or m.each == "" or not isinstance(record, dict):
+    """The layout of a parsed record and its turns; (None, []) if no mapping fits.
+
+    Null texts are empty. In a list of turns nulls are left out, and whatever else
+    isn't an object is a turn without a role.
+    """
+    m = mapping_of(value_paths(record), rows=False) if isinstance(record, dict) else None
+    if m is None:
         return None, []
     names = dict(m.names)
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if m.each:
-        found = [(text(t.get(m.role)), text(t.get(m.text))) for t in record[m.each]]
+        found = [(_text(t.get(m.role)), _text(t.get(m.text))) if isinstance(t, dict) else ("", _text(t)) for t in record[m.each] if t is not None]
         return m.layout, [(names.get(r, r), t) for r, t in found]
-    return m.layout, [(r, "\n\n".join(x for f in fields if (x := text(record.get(f))).strip() or len(fields) == 1)) for r, fields in m.turns]
+    return m.layout, [(r, "\n\n".join(x for f in fields if (x := _text(record.get(f))).strip() or len(fields) == 1)) for r, fields in m.turns]
 
 
 def turns_of_json(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(conv_id, turn, role, text, layout) of JSON records, one row a turn; records that don't parse or match keep one row without turn and layout."""
+    """(conv_id, turn, role, text, layout) of JSON records, one row a turn; records that don't parse, are nested too deeply or match no mapping keep one row without turn and layout."""
     schema = pa.schema([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +130,7 @@ def turns_of_json(df: DataFrame, key: str, column: str) -> DataFrame:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     layout, turns = turns_of_record(json.loads(raw or "null"))
-                except ValueError:
+                except (ValueError, RecursionError):  # not JSON, or nested too deeply to be a conversation
                     layout, turns = None, []
                 found = [(i, r, t, layout) for i, (r, t) in enumerate(turns)] or [(None, None, None, layout)]
                 rows += found
@@ -118,10 +141,10 @@ def turns_of_json(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def turns_of_table(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema's fingerprint a mapping has; raises ValueError if none has. Native."""
-    m = _BY_PRINT.get(fingerprint(schema_paths(df.drop(key).schema)))
+    """(conv_id, turn, role, text) of a table whose schema a mapping fits; raises ValueError if none does. Other columns don't matter. Native."""
+    m = mapping_of(schema_paths(df.drop(key).schema), rows=True)
     if m is None:
-        raise ValueError("no mapping has the fingerprint of these columns")
+        raise ValueError("no mapping fits these columns")
     if m.each == "":
         return df.select(F.col(key).alias("conv_id"), F.col(m.order).alias("turn"), F.col(m.role).alias("role"), F.col(m.text).alias("text"))
     names = F.create_map(*(F.lit(x) for pair in m.names for x in pair)) if m.names else None
@@ -225,6 +248,6 @@ def read_back(segments: DataFrame) -> DataFrame:
         if now:
             yield table([now.row()], schema)
 
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(segments)
     ordered = segments.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "segment", "mask_start", "mask_end").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
     return ordered.select("conv_id", "segment", "mask_start", "mask_end").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
