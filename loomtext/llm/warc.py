@@ -10,6 +10,7 @@ two replicas and goes down only where nodes differ.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,39 +31,61 @@ def record(record_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def parse(raw: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
-    """Records of an uncompressed archive file: offset, length, headers (lower-case names), body. Raises ValueError where the layout breaks."""
-    out, at = [], 0
+def scan(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes | None, str | None]]:
+    """Records of an uncompressed archive file: offset, length, headers (lower-case names), body, error.
+
+    Where the layout breaks, the bytes up to the next record's first line are one
+    row with an error and no body.
+    """
+    at = 0
     while at < len(raw):
+        error, headers, stop = None, {}, at
         end = raw.find(b"\r\n\r\n", at)
         if end < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no record at {at}")
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        if not re.fullmatch("[0-9]+", headers.get("content-length", "")):
-            raise ValueError(f"no length at {at}")
-        begin = end + 4
-        stop = begin + int(headers["content-length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} doesn't end where it says")
-        out.append((at, stop + 4 - at, headers, raw[begin:stop]))
-        at = stop + 4
+            error = f"no record at {at}"
+        else:
+            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            size = headers.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                error = f"no length at {at}"
+            else:
+                stop = end + 4 + int(size)
+                if raw[stop : stop + 4] != b"\r\n\r\n":
+                    error = f"the record at {at} doesn't end where it says"
+        if error:
+            again = raw.find(b"\r\n\r\nWARC/", at + 1)
+            stop = len(raw) if again < 0 else again + 4
+            yield at, stop - at, headers, None, error
+            at = stop
+        else:
+            yield at, stop + 4 - at, headers, raw[end + 4 : stop], None
+            at = stop + 4
+
+
+def parse(raw: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
+    """``scan`` for files that must be whole: offset, length, headers, body. Raises ValueError where the layout breaks."""
+    out = []
+    for at, length, headers, body, error in scan(raw):
+        if error:
+            raise ValueError(error)
+        out.append((at, length, headers, body))
     return out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed archive files: file, record, start, length, target_uri, body."""
+    """Records of uncompressed archive files: file, record, start, length, target_uri, body, error. What isn't a record is a row with an error; a file must fit a task."""
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             for name, raw in zip(frame["path"], frame["content"], strict=True):
-                rows = [(name, i, a, n, h.get("warc-target-uri"), body) for i, (a, n, h, body) in enumerate(parse(raw))]
-                yield pd.DataFrame(rows, columns=["file", "record", "start", "length", "target_uri", "body"])
+                rows = [(name, i, a, n, h.get("warc-target-uri"), body, error) for i, (a, n, h, body, error) in enumerate(scan(raw))]
+                yield pd.DataFrame(rows, columns=["file", "record", "start", "length", "target_uri", "body", "error"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, record int, start bigint, length bigint, target_uri string, body binary")
+    return files.mapInPandas(run, "file string, record int, start bigint, length bigint, target_uri string, body binary, error string")
 
 
 def _number(text: Column) -> Column:
@@ -92,12 +115,16 @@ def _above(nodes: DataFrame, key: list[str], by: str) -> DataFrame:
 
 
 def tree(leaves: DataFrame, depth: int, n_files: int) -> list[DataFrame]:
-    """Levels (file, record, hash) from the leaves up: ``depth`` levels within files, then ranges of files up to one root."""
+    """Levels (file, record, hash) from the leaves (a stored table) up: ``depth`` levels within files, then ranges of files up to one root.
+
+    Each level above the leaves is stored, a sixteenth of the one below, so an
+    audit reads nodes and hashes nothing again.
+    """
     levels = [leaves.select("file", "record", F.col("leaf").alias("hash"))]
     for _ in range(depth):
-        levels.append(_above(levels[-1], ["file", "record"], "record"))
+        levels.append(cut(_above(levels[-1], ["file", "record"], "record")))
     while n_files > 1:
-        levels.append(_above(levels[-1], ["file", "record"], "file"))
+        levels.append(cut(_above(levels[-1], ["file", "record"], "file")))
         n_files = -(-n_files // FAN_OUT)
     return levels
 
@@ -141,6 +168,11 @@ def rotten(pages: DataFrame, one_in: int = 211) -> DataFrame:
     return pages.withColumn("html", F.when(hit, F.concat(other, F.expr("substring(html, 2)"))).otherwise(F.col("html")))
 
 
+def files_for(pages: int, records_a_file: int = 1024) -> int:
+    """Archive files for so many pages: a power of two, so that pages stay in their files while an archive grows, until it doubles."""
+    return 1 << max(0, -(-pages // records_a_file) - 1).bit_length()
+
+
 def audit_pages(pages: DataFrame, replica: DataFrame, records_a_file: int = 1024) -> DataFrame:
     """Every record of the primary archive with the audit's findings.
 
@@ -149,7 +181,7 @@ def audit_pages(pages: DataFrame, replica: DataFrame, records_a_file: int = 1024
     page_id is kept; repeated rows are records of their own; an empty table gives
     an empty result; other columns aren't read.
     """
-    n_files = max(1, -(-pages.count() // records_a_file))
+    n_files = files_for(pages.count(), records_a_file)
     a, b = cut(manifest(pages, n_files)), cut(manifest(replica, n_files))
     differing, roots, replica_roots = audit(a, b, n_files)
     found = differing.where(F.col("in_primary").isNotNull()).select("file", "record", F.lit(True).alias("corrupt"))
@@ -171,7 +203,7 @@ def oracle(records_a_file: int = 1024, one_in: int = 211, depth: int = 4) -> str
               CASE WHEN file_depth >= {k} THEN sha256('node|' || string_agg(hash, '|' ORDER BY record)) ELSE any_value(hash) END AS hash, file_depth
               FROM {below} GROUP BY file, record // {FAN_OUT}, file_depth)""")
         return f"""
-{name}t AS (SELECT page_id, {number.format("page_id::VARCHAR")} % (SELECT greatest(1, (count(*) + {records_a_file - 1}) // {records_a_file}) FROM pages) AS file,
+{name}t AS (SELECT page_id, {number.format("page_id::VARCHAR")} % (SELECT pow(2, ceil(log2(greatest(1, (count(*) + {records_a_file - 1}) // {records_a_file}))))::BIGINT FROM pages) AS file,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
   || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)
   || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS text
