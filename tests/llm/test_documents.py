@@ -181,7 +181,7 @@ def test_mix_permutation_and_slots(spark):
 
     q = spark.createDataFrame([("sa", 1000, 10, 1600.0), ("sb", 37, 1, 74.0)], "skey string, source_size long, weight int, target double")
     quotas = mixing._quotas(q, 16, 1)
-    slots = mixing._slots(quotas, 16, 8, 1)
+    slots, _ = mixing._slots(quotas, 16, 8, 1)
     got = slots.groupBy("skey", "block").agg(F.count("*").alias("n"), F.sum("words").alias("w")).collect()
     assert max(r.n for r in got) == 2 and sum(r.w for r in got if r.skey == "sa") == 1600 and sum(r.w for r in got if r.skey == "sb") == 74
     per = slots.groupBy("skey", "pass", "block").count().where("count > 1").count()
@@ -221,6 +221,16 @@ def test_encoder_matches_whole_texts():
     assert e([odd.encode()])[0] == np.array(e.tokenizer.encode(odd, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_encoder_matches_on_odd_words(seed):
+    """Words of letters of many scripts, marks and digits, by themselves and in texts."""
+    r, e = random.Random(seed), packing._Encoder(None)
+    pool = "aBéÉßẞİıΣσςŁǅЖж中日각가\u0301\u0307ªⅧ²½٣'’.,;:!?()[]{}<>|-_#$%&@*+=^`~\"/\\ \u00a0\u3000\u200d\x1c😀\U00010400\U0001e900\u1c89\ua7cb"
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(5000)] + ["Σİ(", "ΑΣ.Α ΑΣ. ΑΣ", "<|endoftext|>(a) 's 'S", "İ) ΣΣ! İΣ"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e([t.encode() for t in texts]) == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_plan_holds_everything(seed):
     r = random.Random(seed)
@@ -276,6 +286,45 @@ def test_transport_stream_faults():
         media.demux(ts[:n] + ts[n + 188 :])  # an elementary packet is too short
 
 
+def _packet(pid, counter, body, start, adaptation=b""):
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if adaptation or len(body) < 184 else 0x10) | counter])
+    if len(body) + len(adaptation) < 184 and not adaptation:
+        adaptation = b"\0" if len(body) == 183 else bytes([183 - len(body), 0]) + b"\xff" * (182 - len(body))
+    return head + adaptation + body
+
+
+def _foreign_stream():
+    """A hand-made stream: a map table that is longer than a packet, a later version of it with one more stream, and an announced break of the counter."""
+    crc = lambda d: d + media.crc32_mpeg(d).to_bytes(4, "big")
+
+    def section(table, version, body):
+        size = len(body) + 9
+        return crc(bytes([table, 0xB0 | size >> 8, size & 255, 0, 1, 0xC1 | version << 1, 0, 0]) + body)
+
+    pat = section(0, 0, b"\0\0\xe0\x10" + b"\0\x01\xe0\x20")
+    es = lambda kind, pid, more: bytes([kind, 0xE0 | pid >> 8, pid & 255, 0xF0 | len(more) >> 8, len(more) & 255]) + more
+    first = section(2, 0, b"\xe1\x01\xf0\0" + es(0x1B, 0x101, b"\x52\xc8" + bytes(200)))
+    second = section(2, 1, b"\xe1\x01\xf0\0" + es(0x1B, 0x101, b"") + es(0x0F, 0x102, b""))
+    pts = lambda t: bytes([0x21 | t >> 29 & 14, t >> 22 & 255, t >> 14 & 254 | 1, t >> 7 & 255, t << 1 & 254 | 1])
+    pes = lambda data, t=None: b"\0\0\1\xe0" + (len(data) + (8 if t is not None else 3)).to_bytes(2, "big") + (b"\x80\x80\5" + pts(t) if t is not None else b"\x80\0\0") + data
+    a, b, c = pes(b"A" * 100, 90_000), pes(b"B" * 50), pes(b"C" * 30, (1 << 33) - 1)
+    announced = bytes([183 - len(b), 0x80 | 0x40]) + b"\xff" * (182 - len(b))
+    out = [_packet(0, 0, (b"\0" + pat).ljust(184, b"\xff"), True)]
+    out += [_packet(0x20, 0, b"\0" + first[:183], True), _packet(0x101, 0, a, True)]
+    # the rest of the long section, then the next one begins in the same packet, behind the pointer
+    rest = first[183:]
+    out += [_packet(0x20, 1, (bytes([len(rest)]) + rest + second).ljust(184, b"\xff"), True)]
+    out += [_packet(0x101, 9, b, True, announced), _packet(0x102, 3, c, True), _packet(0x101, 12, pes(b"D"), True)]
+    return b"".join(out)
+
+
+def test_foreign_stream():
+    x, y = media.demux(_foreign_stream())
+    assert (x.pid, x.kind, x.packets, x.breaks, x.data) == (0x101, 0x1B, 3, 1, b"A" * 100 + b"B" * 50 + b"D")
+    assert x.units == [(90_000, False, 0, 100), (None, True, 100, 50), (None, False, 150, 1)]
+    assert (y.pid, y.kind, y.data, y.units) == (0x102, 0x0F, b"C" * 30, [((1 << 33) - 1, False, 0, 30)])
+
+
 def test_access_units(docs):
     units = media.access_units(media.media_column(docs)).collect()
     assert {r.doc_id for r in units} == {r.doc_id for r in docs.select("doc_id").collect()}
@@ -414,6 +463,35 @@ def test_quality(spark):
     assert {x.score for x in quality.scored(docs, alone).collect()} != set()
 
 
+def test_quality_by_brute_force(spark):
+    """A score is the calibrated difference of two compressed sizes and nothing else; it rises with it."""
+    import zstandard
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["river", "stone", "walls", "quiet"] if i % 2 else ["x|q", "$$$", "###"]) for _ in range(r.randint(0, 300))) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(0, 0)] * 3, "doc_id long, quality int")
+    m = quality.train(docs, labels)
+
+    def side(content):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=7)
+        return zstandard.ZstdCompressor(level=7, dict_data=data)
+
+    good, bad = side(m.good), side(m.bad)
+    d = lambda t: (len(bad.compress(t.encode())) - len(good.compress(t.encode()))) / (len(bad.compress(t.encode())) + len(good.compress(t.encode())))
+    got = {x.doc_id: x.score for x in quality.scored(docs, m).collect()}
+    assert m.slope > 0 and all(abs(got[i] - 1 / (1 + np.exp(-(m.base + m.slope * d(t))))) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_quality_sample_is_bounded(spark):
+    """Many rows of one labelled id are one row of the sample."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(i, "other text") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    assert (m.good + m.bad).count(b"text 0") <= 1 and len(m.good) < 1000
+
+
 def test_quality_on_shared_data(spark):
     from loomtext.llm import queries
 
@@ -431,3 +509,44 @@ def test_empty_tables(none, spark):
         quality.scored(none, quality.train(none, labels)),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_pii_long_parts():
+    """Parts of thousands of zeros aren't turned into numbers as they are."""
+    assert pii.base_spans("0" * 5000 + "1.2.3." + "0" * 5000) == [("ip", 0, 5000 + 6 + 5000)]
+    assert pii.base_spans("1" * 5000 + ".2.3.4") == []
+
+
+def test_pii_many_addresses(spark):
+    """Twenty thousand addresses in each of three texts with many words of their own: pairs stay few, and the result the same as by brute force."""
+    mail = " ".join(f"u{i}@example.com" for i in range(20_000))
+    word = lambda t, i: "w" + "".join(chr(97 + int(c)) for c in f"{t}{i:05d}")
+    rows = [(t, " ".join(word(t, i) for i in range(3000)) + f" quorvex {mail}") for t in range(3)] + [(i, "filler words") for i in range(10, 40)]
+    spans = {x.doc_id: x for x in pii.protected_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for t in range(3):
+        assert len(spans[t].spans) == 20_000 and {text[t][a.start : a.end] for a in spans[t].added} == {"quorvex"}
+
+
+def test_pii_terms_of_odd_case(spark):
+    """A letter whose lower case is two characters counts alike where terms are counted and where they are found."""
+    rows = [(i, f"İstvex jo@example.com {i}") for i in range(6)] + [(i, "filler words") for i in range(10, 100)]
+    spans = {x.doc_id: x for x in pii.protected_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [dict(rows)[0][a.start : a.end] for a in spans[0].added] == ["İstvex"]
+
+
+def test_substring_null_ids(spark):
+    """Texts without an id are told apart: those without a repeat keep all words."""
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(25))) for i in range(3000)] + [(None, " ".join(f"w{i}x{k}" for k in range(24)) + " z z z") for i in range(0, 3000, 2)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 4500 and sorted(r.n_removed for r in got).count(0) == 4500  # equal windows of one id at equal starts both stay
+    rows = [(None if i % 2 else i, " ".join(f"v{i // 2}x{k}" for k in range(30))) for i in range(2000)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [30] * 1000 and {r.n_removed for r in got if r.doc_id is not None} == {0}
+
+
+def test_substring_compares_both_hashes():
+    h, g = np.array([5, 5, 5], np.uint64), np.array([1, 2, 1], np.uint16)
+    doc, tag, at = np.array([1, 2, 3]), np.zeros(3, np.int64), np.zeros(3, np.uint32)
+    (_, _, d, _, _), later = substring._seconds(h, g, doc, tag, at)
+    assert d[later].tolist() == [3]

@@ -82,6 +82,29 @@ def test_chat_layouts(spark):
     assert [(x.role, x.text) for x in chat.turns_of_table(nested).orderBy("turn").collect()] == turns
 
 
+def test_chat_extra_columns(spark):
+    """Further columns, whatever mapping knows their names, leave the layout as it is."""
+    for name in ("prompt", "system", "input", "output", "response", "completion", "instruction", "score"):
+        df = spark.createDataFrame([(1, 0, "user", "q", "z"), (1, 1, "assistant", "a", "z")], f"conv_id long, turn long, role string, text string, {name} string")
+        assert [(x.role, x.text) for x in chat.turns_of_table(df).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+    assert chat.turns_of_record({"prompt": "q", "response": "a", "output": "o", "role": "r"})[1] == [("user", "q"), ("assistant", "a")]
+
+
+def test_chat_odd_records(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    good = {"role": "user", "content": "q"}
+    records = [
+        (json.dumps({"messages": [good, None]}), [("user", "q")]), (json.dumps({"messages": [good, "loose", 3]}), [("user", "q"), ("", "loose"), ("", "3")]),
+        ('{"messages": ' + deep + "}", None), ('{"messages": [{"role": "user", "content": "\\ud800x"}]}', [("user", "\ufffdx")]), (json.dumps({"messages": {"role": "user", "content": "q"}}), None),
+        (json.dumps([good]), None), (json.dumps({"messages": [{"role": None, "content": {"a": [1]}}]}), None), ('"text"', None), (json.dumps({"messages": []}), None),
+        (json.dumps({"prompt": None, "response": 5}), [("user", ""), ("assistant", "5")]),
+    ]
+    got = {}
+    for x in chat.turns_of_json(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "conv_id long, raw string"), "conv_id", "raw").orderBy("conv_id", "turn").collect():
+        got.setdefault(x.conv_id, []).append((x.role, x.text))
+    assert [got[i] for i in range(len(records))] == [w or [(None, None)] for _, w in records]
+
+
 def test_warc_audit(spark):
     rows = [(i, f"http://x/{i}", f"<p>{'é' * (i % 50)}</p>", "z", "z") for i in range(700)] + [(None, None, None, "z", "z"), (5, "http://x/5", "twice", "z", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, record string")
@@ -109,6 +132,32 @@ def test_warc_round_trip(spark, tmp_path):
         warc.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
 
 
+def test_warc_goes_on_after_faults(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(i, f"http://{i}", f"body {i}") for i in range(5)], "page_id long, url string, html string")
+    texts = [r[0] for r in pages.orderBy("page_id").select(warc.record(F.col("page_id"), F.col("url"), F.col("html"))).collect()]
+    texts[1], texts[3] = texts[1].replace("Content-Length: 6", "Content-Length: 7"), "rubbish\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes("".join(texts).encode())
+    got = warc.read_warc(spark, str(tmp_path)).orderBy("record").collect()
+    assert [x.body and bytes(x.body).decode() for x in got] == ["body 0", None, "body 2", None, "body 4"]
+    assert [x.error is None for x in got] == [True, False, True, False, True] and sum(x.length for x in got) == len("".join(texts))
+
+
+def test_archive_files_change_at_powers_of_two_only():
+    assert [warc.files_for(n, 10) for n in (0, 1, 10, 11, 20, 21, 40, 41)] == [1, 1, 1, 2, 2, 4, 4, 8]
+
+
+def test_embeddings_in_doubles(spark):
+    """Two vectors whose cosine falls below the bound only in digits that single precision doesn't have."""
+    a = [1.0, 0.0]
+    c = 0.9 - 1e-12
+    b = [c, float(np.sqrt(1 - c * c))]
+    df = spark.createDataFrame([(0, a), (1, b), (2, [0.9 + 1e-12, float(np.sqrt(1 - (0.9 + 1e-12) ** 2))])], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in embed.near_duplicates(df, recall=0.9999).collect()}
+    assert got == {0: 1, 1: 1, 2: 2}
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -135,3 +184,49 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SMALL).count() == 0
+
+
+def _small(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    texts = [" ".join(word() for _ in range(r.randint(5, 120))) for _ in range(60)]
+    texts += [t + " end" for t in texts[:10]] + ["write to jo@example.com or +1 389 555 0100 now"]
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on a small table against a plain version of what it decides."""
+    import corpus_pipeline
+    from loomtext.llm import mixing, packing, pii, quality
+
+    stages, docs = dict(corpus_pipeline.STAGES), _small(spark)
+    rows = {x.doc_id: x for x in docs.collect()}
+
+    model = quality.train(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    found = {x.doc_id: x.predicted for x in quality.scored(spark.read.parquet(f"{SMALL}/documents.parquet"), model).collect()}
+    kept = stages["quality classifier"](spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, p in found.items() if p == 1)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(x.text) for i, x in rows.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    up = _components(len(rows), pairs)
+    assert sorted(x.doc_id for x in stages["SimHash near-dedup"](spark, docs, SMALL).collect()) == sorted(set(up))
+
+    clean = {x.doc_id: x.text for x in stages["PII"](spark, docs, SMALL).collect()}
+    assert clean == {i: pii.sanitised(x.text, [{"kind": k, "start": a, "end": b} for k, a, b in pii.base_spans(x.text)], []) for i, x in rows.items()}
+
+    mixed = stages["mixing sources"](spark, docs, SMALL).collect()
+    words = {}
+    for x in mixed:
+        words[x.doc_id] = words.get(x.doc_id, 0) + len(x.text.split())
+    assert words == {x.doc_id: x.taken for x in mixing.mix(docs).collect() if x.taken}
+
+    packed = stages["best-fit packing"](spark, docs, SMALL).collect()
+    ids = packing._Encoder(None)
+    want = {i: len(ids([x.text.encode()])[0]) // 4 + 1 for i, x in rows.items()}
+    assert {x.doc_id: x.length for x in packed} == want
+    assert len({x.sequence_id for x in packed}) == -(-sum(want.values()) // 2048)
