@@ -10,24 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm import mixing, packing, pii, quality, simhash
-from loomtext.llm.common import read, stored
+from loomtext.llm.common import bounded_batches, read, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled documents of ``docs``."""
+    bounded_batches(spark)
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    bounded_batches(spark)
     return simhash.distinct_documents(docs.select(*COLUMNS))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and the terms that disclose it."""
+    bounded_batches(spark)
     return pii.sanitised_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -38,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048. Workers that ran the other stages too keep few words in mind."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, capacity=2048, remember=100_000)
 
 

@@ -127,7 +127,19 @@ def tokens_treebank(spark, d):
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query()
+def _offsets_sql(rows: str, key: str) -> str:
+    """SQL of (key, idx, token, start_, end_) over a relation ``rows`` (key, text, w): tokens hold all characters but spaces, so a token begins at the space-free place where those before it end."""
+    return f"""o_p AS (SELECT {key}, w, list_filter(range(1, len(ch) + 1), lambda i: NOT list_contains([' ', chr(9), chr(10), chr(11), chr(12), chr(13)], ch[i])) AS pos
+  FROM (SELECT *, regexp_extract_all(text, '(?s).') AS ch FROM {rows})),
+o_t AS (SELECT {key}, pos, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS idx FROM o_p),
+o_c AS (SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY {key} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM o_t),
+offs AS (SELECT {key}, idx, token, (pos[c + 1] - 1)::INT AS start_, pos[c + length(token)]::INT AS end_ FROM o_c)"""
+
+
+@query(
+    f"""WITH rows_ AS (SELECT conv_id, turn, text, row_number() OVER () AS r, {_treebank_sql("text")} AS w FROM conversations), {_offsets_sql("rows_", "conv_id, turn, r")}
+SELECT conv_id, turn, token, start_ AS "start", end_ AS "end" FROM offs"""
+)
 def token_offsets(spark, d):
     rows = _read(spark, d, "conversations").select("conv_id", "turn", "text", T.treebank("text").alias("w"))
     return rows.select("conv_id", "turn", F.explode(T.offsets("text", "w")).alias("x")).select("conv_id", "turn", "x.*")
@@ -507,14 +519,29 @@ def corpus_values(spark, d):
     return rows.select("sentence_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "value")
 
 
-@query()
+_ALIGNED = f"""{_corpus_sql()}, rows_ AS (SELECT sentence_id, text, {_treebank_sql("text")} AS w FROM (SELECT row_id AS sentence_id, string_agg(value, '' ORDER BY slot) AS text FROM placed GROUP BY row_id)),
+{_offsets_sql("rows_", "sentence_id")}, spans AS (SELECT row_id AS sentence_id, start_ AS s0, start_ + length(value) AS s1, kind AS label FROM placed WHERE kind IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_ALIGNED}, hit AS (SELECT o.*, s0, label, row_number() OVER (PARTITION BY o.sentence_id, s0 ORDER BY idx) AS nth FROM offs o LEFT JOIN spans s ON o.sentence_id = s.sentence_id AND start_ < s1 AND end_ > s0)
+SELECT sentence_id, idx::INT AS token_idx, token, start_ AS "start", end_ AS "end", CASE WHEN label IS NULL THEN 'O' WHEN nth = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM hit"""
+)
 def span_overlap_align(spark, d):
     return corpus.tagged_tokens(_corpus(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_ALIGNED}, broken AS (SELECT * FROM spans UNION ALL SELECT * FROM spans WHERE sentence_id % 7 = 0 UNION ALL SELECT DISTINCT sentence_id, 0, 0, 'PERSON' FROM spans WHERE sentence_id % 7 = 1),
+lone AS (SELECT sentence_id, 'entity without token' AS error FROM broken b WHERE NOT EXISTS (SELECT 1 FROM offs o WHERE o.sentence_id = b.sentence_id AND start_ < s1 AND end_ > s0)),
+twice AS (SELECT o.sentence_id, 'overlapping entities' AS error FROM offs o JOIN broken b ON o.sentence_id = b.sentence_id AND start_ < s1 AND end_ > s0 GROUP BY o.sentence_id, idx HAVING count(*) > 1)
+SELECT * FROM lone UNION ALL SELECT * FROM twice"""
+)
 def corpus_errors(spark, d):
-    return corpus.tagging_errors(_corpus(spark, d))
+    """Errors planted by rule: all spans of every seventh sentence twice, a span without characters in every seventh after it."""
+    empty = F.expr("named_struct('start', 0, 'end', 0, 'label', 'PERSON', 'value', '')")
+    spans = F.when(F.col("sentence_id") % 7 == 0, F.concat("spans", "spans")).when(F.col("sentence_id") % 7 == 1, F.concat("spans", F.array(empty))).otherwise(F.col("spans"))
+    return corpus.tagging_errors(_corpus(spark, d).withColumn("spans", spans))
 
 
 # --- the whole job

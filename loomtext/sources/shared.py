@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint; a local folder serves only where the setting is unset."""
+    """``df`` as a checkpoint. Where the setting is unset, a local folder serves a session of one machine; a cluster's raises ValueError."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomtext-"))
     return df.checkpoint()

@@ -1,5 +1,6 @@
 """The library's own operators: worked cases, invariants, and SQL of another engine."""
 
+import json
 import math
 
 import duckdb
@@ -13,9 +14,9 @@ from loomtext.operators import corpus, metrics, splits, tagging
 from loomtext.operators.features import WindowFeatureBuilder
 from loomtext.operators.logistic import BinaryLogisticRegression, sparse_rows
 from loomtext.operators.naive_bayes import MulticlassNaiveBayes
+from loomtext.plans import jobs, training
 from loomtext.plans import queries as own
-from loomtext.plans import training
-from loomtext.sources.jsonl import read_sentences, write_report, write_sentences
+from loomtext.sources.jsonl import read_sentences, read_splits, write_document, write_report, write_sentences
 from loomtext.streaming.stateless import cleaned_stream
 
 SMALL = "/root/testdata/sf0.001"
@@ -244,3 +245,143 @@ def test_clean_queries_are_exact(spark, tmp_path):
     spark.createDataFrame([(1, raw)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     for query in (own.clean_documents, own.clean_pages):
         assert query(spark, str(tmp_path)).first().cleaned == "fix 'caf\u00e9' A"
+
+
+def test_text_must_be_text(spark):
+    with pytest.raises(Exception, match="must be a string"):
+        spark.range(1).select(T.clean("id")).collect()
+    assert spark.range(1).select(T.clean(F.lit(None)).alias("x")).first().x is None
+
+
+def test_sentences_and_tokens(spark):
+    text = 'Dr. Rahman called. He asked: "Is it late?" No. 5 is fine. J. Smith left.'
+    assert _one(spark, text, T.sentences) == ["Dr. Rahman called.", 'He asked: "Is it late?"', "No. 5 is fine.", "J. Smith left."]
+    assert _one(spark, "One. Two.", T.tokenize) == ["One", ".", "Two", "."] and _one(spark, None, T.tokenize) is None
+
+
+def test_offsets_of_long_texts(spark):
+    text = "  ".join(f"w{i}" for i in range(20_000))
+    got = _one(spark, text, lambda c: T.offsets(c, T.words(c)))
+    assert len(got) == 20_000 and all(text[r.start : r.end] == r.token for r in got[::997])
+    assert _one(spark, None, lambda c: T.offsets(c, T.words(c))) is None
+
+
+def test_vocabulary_as_a_column(spark):
+    df = spark.createDataFrame([("fone", ["PHONE", "Phone", "bone"])], "t string, v array<string>")
+    assert df.select(T.correct_token("t", F.col("v")).alias("x")).first().x == "bone"
+    assert df.select(T.levenshtein_distance("t", F.lit("phone")).alias("x")).first().x == 2
+
+
+def test_lemmas_of_letters_only(spark):
+    df = spark.createDataFrame([(["Mice", "mice2"],)], "w array<string>")
+    assert df.select(T.transform_tokens("w", lemmas={"mice": "mouse", "mice2": "no"}).alias("x")).first().x == ["mouse", "mice2"]
+
+
+@pytest.mark.parametrize("token", ["Ⅷ", "ⓐⒶ", "²", "①a", "٣", "Ǆ", "ǅ", "a", "7"])
+def test_shapes_of_odd_characters(spark, token):
+    row = spark.createDataFrame([(token,)], "t string").select(*T.orthographic("t")).first()
+    assert (row[0], row[1], row[5]) == (float(token[0].isupper()), float(any(c.isdigit() for c in token)), float(token.isdigit()))
+
+
+def test_reports_by_group_and_order(spark):
+    rows = [(1, 0, "B-A", "B-A", "x"), (1, 1, "I-A", "O", "x"), (2, 0, "B-B", "B-B", "y"), (2, 1, "O", "O", "y")]
+    df = spark.createDataFrame(rows, "sentence_id long, token_idx int, tag string, predicted string, `group` string")
+    r = metrics.evaluate_bio(df, by="group")
+    assert {x.part: (x.correct, x.predicted, x.gold) for x in r["spans"].collect()} == {"overall": (1, 2, 2), "x": (0, 1, 1), "y": (1, 1, 1)}
+    assert [(x.part, x.label) for x in metrics.in_order(r["labels"], "label").collect()] == [("overall", "B-A"), ("overall", "B-B"), ("overall", "I-A"), ("overall", "O"), ("x", "B-A"), ("x", "I-A"), ("x", "O"), ("y", "B-B"), ("y", "O")]
+    assert [x.gold for x in metrics.in_order(r["confusion"].where("part = 'x'"), "gold", "predicted", outside="first").collect()] == ["O", "O", "A", "A"]
+    said = df.select("sentence_id", "token_idx", F.col("predicted").alias("tag"))
+    assert metrics.evaluate_sequences(said, df, by="group")["spans"].count() == 3
+    with pytest.raises(ValueError):
+        metrics.evaluate_sequences(said.limit(3), df)
+    none = metrics.evaluate_bio(df.limit(0), by="group")
+    assert [tuple(x) for x in none["tokens"].collect()] == [("overall", 0, 0, 0, 0, 0)] and none["spans"].first().f1 == 0
+
+
+def test_alignment_fails_on_bad_spans(spark):
+    text = [(1, "ab cd")]
+    tokens = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 3, 5)], "sentence_id long, token_idx int, start int, end int")
+    spans = lambda *s: spark.createDataFrame([(1, *x) for x in s], "sentence_id long, start int, end int, label string")
+    assert text and [x.tag for x in tagging.aligned(tokens, spans((0, 5, "A"))).orderBy("token_idx").collect()] == ["B-A", "I-A"]
+    for bad, what in ((((2, 3, "A"),), "without token"), (((0, 2, "A"), (1, 5, "B")), "overlapping")):
+        with pytest.raises(ValueError, match=what):
+            tagging.aligned(tokens, spans(*bad))
+
+
+def test_splits_without_validation(spark):
+    rows = spark.range(100).selectExpr("id as sentence_id", "if(id < 90, 'a', null) `group`", "concat('t', id) text")
+    got = {(r.split, r["group"]): r.n for r in splits.group_counts(splits.split(rows, train=0.8, val=0.0)).collect()}
+    assert got == {("train", "a"): 72, ("test", "a"): 18, ("train", None): 8, ("test", None): 2}
+
+
+def test_model_shapes(spark):
+    f = spark.createDataFrame([(0, 5, 1.0)], "id long, column long, value double")
+    y = spark.createDataFrame([(0, "a")], "id long, category string")
+    with pytest.raises(ValueError):
+        MulticlassNaiveBayes().fit(f, y, ["id"], spark.createDataFrame([(0,)], "column long"))
+    with pytest.raises(RuntimeError):
+        MulticlassNaiveBayes().joint_log(f, y, ["id"])
+    rows = spark.createDataFrame([([7], [1.0], 1), ([0], [1.0], 0)], "columns array<int>, values array<double>, label int")
+    with pytest.raises(ValueError):
+        BinaryLogisticRegression(max_iter=1).fit(rows, 3)
+    with pytest.raises(RuntimeError):
+        BinaryLogisticRegression().decision(rows)
+
+
+def test_gradients_are_summed_in_tasks(spark):
+    r = [([i % 3], [1.0], i % 2) for i in range(300)]
+    rows = spark.createDataFrame(r, "columns array<int>, values array<double>, label int")
+    few, many = (BinaryLogisticRegression(max_iter=2).fit(rows.repartition(n), 3) for n in (1, 90))
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(few.weights, many.weights, strict=True)) and math.isclose(few.history[1], many.history[1])
+
+
+def test_corpus_parts(spark):
+    assert corpus.generate_group_example(spark, "noisy", 4).select("group").distinct().collect() == [("noisy",)]
+    values = corpus.generate_values(spark.range(50).withColumnRenamed("id", "row_id"), "PHONE_NUMBER").collect()
+    assert all(v.value.startswith("01") and len(v.value) == 11 for v in values)
+    for bad in (lambda: corpus.generate_group_example(spark, "loud"), lambda: corpus.generate_values(spark.range(1), "AGE")):
+        with pytest.raises(ValueError):
+            bad()
+    assert all(len(corpus.OPENINGS[g]) * len(corpus.CONTINUATIONS[g]) == corpus.n_templates() for g in corpus.GROUPS)
+
+
+def test_jobs(spark, tmp_path):
+    """The corpus job, the acceptance checks and the training job with its report."""
+    data, out = str(tmp_path / "data"), str(tmp_path / "results" / "report.json")
+    with pytest.raises(ValueError):
+        jobs.build_corpus(spark, data, 999)
+    with pytest.raises(SystemExit):
+        jobs.main(["corpus", "--num-examples", "10"])
+    counts = jobs.build_corpus(spark, data, 1000).collect()
+    assert sum(r.n for r in counts) == 1000 and {r.split for r in counts} == {"train", "val", "test"}
+    said = jobs.check(spark, data)
+    assert len(said) == 5 + len(jobs.COVERED)
+    rows = read_splits(spark, data)
+    assert rows.count() == rows.select("sentence_id").distinct().count() == 1000
+    assert tagging.sample(rows, "clean", "I-EMAIL").first()["group"] == "clean" and tagging.sample(rows, "clean", "I-NONE").count() == 0
+    report = jobs.train(spark, data, out, max_iter=12)
+    text = open(out, encoding="utf-8").read()
+    assert json.loads(text) == json.loads(json.dumps(report)) and text.startswith('{\n  "stage"') and text.endswith("}\n")
+    assert report["dataset"]["train_sentences"] + report["dataset"]["validation_sentences"] + report["dataset"]["test_sentences"] == 1000
+    for c in report["configurations"].values():
+        assert c["models"]["logistic_regression"]["iterations"] == 12 and set(c["test"]["by_group"]) == set(corpus.GROUPS)
+        m = c["test"]["overall"]["confusion_matrix"]
+        assert m["labels"][0] == "O" and m["labels"][1:] == sorted(m["labels"][1:]) and all(len(row) == len(m["labels"]) for row in m["matrix"])
+    assert report["configurations"]["word_only"]["features"]["character_ngrams"] is None
+    assert set(report["library_validation"]) == {"matrix_config", "logistic_regression_binary", "naive_bayes_category"}
+    assert set(report["structured_category_ablation"]["per_category"]) == set(metrics.STRUCTURED)
+    assert "macro mean" in jobs.report_tables(report)
+    broken = rows.withColumn("tags", F.when(F.col("split") == "val", F.transform("tags", lambda t: F.lit("X"))).otherwise(F.col("tags")))
+    from loomtext.sources.jsonl import write_splits
+
+    write_splits(broken, str(tmp_path / "broken"))
+    with pytest.raises(AssertionError, match="grammar"):
+        jobs.check(spark, str(tmp_path / "broken"))
+    write_document(spark, {"é": 1}, str(tmp_path / "a" / "b.json"))
+    assert (tmp_path / "a" / "b.json").read_text(encoding="utf-8") == '{\n  "é": 1\n}\n'
+
+
+def test_public_names():
+    import loomtext
+
+    assert all(hasattr(loomtext, n) for n in loomtext.__all__)
