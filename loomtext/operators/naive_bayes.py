@@ -22,18 +22,17 @@ class MulticlassNaiveBayes:
 
     def fit(self, features: DataFrame, targets: DataFrame, key: list[str], columns: DataFrame) -> MulticlassNaiveBayes:
         """``features``: key, column, value (not negative); ``targets``: key, category; ``columns``: all columns. Features of rows without a target don't count."""
-        known = columns.select("column", F.lit(True).alias("known")).distinct()
-        low, strange = features.join(known, "column", "left").agg(F.min("value"), F.count(F.when(F.col("known").isNull(), 1))).first()
-        if low is not None and low < 0:
+        if features.where("value < 0").limit(1).count():
             raise ValueError("values must not be negative")
-        if strange:
+        known = columns.select("column").distinct()
+        if features.join(known, "column", "left_anti").limit(1).count():
             raise ValueError("features have columns that aren't among the columns")
         classes = targets.groupBy("category").agg(F.count("*").alias("n"))
         total = Window.partitionBy(F.lit(0))
         self.priors = classes.select("category", F.log(F.col("n") / F.sum("n").over(total)).alias("log_prior"))
         sums = features.join(targets, key).groupBy("category", "column").agg(F.sum("value").alias("s"))
         # classes x columns: the model itself
-        grid = classes.select("category").crossJoin(known.select("column"))
+        grid = classes.select("category").crossJoin(known)
         s = F.coalesce("s", F.lit(0.0)) + self.alpha
         rows = grid.join(sums, ["category", "column"], "left").select("category", "column", s.alias("s"))
         self.likelihoods = rows.select("category", "column", F.log(F.col("s") / F.sum("s").over(Window.partitionBy("category"))).alias("log_prob"))
