@@ -145,32 +145,34 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, remember: int = _REMEMBERED) -> DataFrame:
-    """Each text's token ids and ``end_id``, in pieces of ``capacity`` (the last may be shorter): doc_id, piece, start, length, ids_crc32, and ids if asked for.
+def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, text_hash: bool = False, remember: int = _REMEMBERED) -> DataFrame:
+    """Each text's token ids and ``end_id``, in pieces of ``capacity`` (the last may be shorter): doc_id, piece, start, length, ids_crc32, and ids and text_hash (xxhash64 of the text) if asked for.
 
     ``tokenizer`` is the path of a tokenizers file that executors can read; by
     default that of the installed vocabulary of word pieces. A null text counts as empty: one
     piece of one token.
     """
-    schema = _PIECE.append(pa.field("ids", pa.binary())) if with_ids else _PIECE
+    more = ([("ids", pa.binary(), "binary")] if with_ids else []) + ([("text_hash", pa.int64(), "bigint")] if text_hash else [])
+    schema = pa.schema([*_PIECE, *(pa.field(n, t) for n, t, _ in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer), int(end_id).to_bytes(4, "little")
         encode.most = remember
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            ids, texts, hashes = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], b.column(2).to_pylist()
             for lo, hi in _groups([len(t) for t in texts], 1 << 20):
                 rows = []
-                for doc, raw in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
+                for doc, raw, h in zip(ids[lo:hi], encode(texts[lo:hi]), hashes[lo:hi], strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[at : at + 4 * capacity]
                         row = (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece))
-                        rows.append((*row, piece) if with_ids else row)
+                        rows.append((*row, *([piece] if with_ids else []), *([h] if text_hash else [])))
                 yield table(rows, schema)
 
-    kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_in_arrow, run, kinds)
+    kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + "".join(f", {n} {t}" for n, _, t in more)
+    h = F.xxhash64(F.coalesce("text", F.lit(""))) if text_hash else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), "text", h.alias("h")).transform(map_in_arrow, run, kinds)
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -309,7 +311,7 @@ def _refit(open_runs: dict[int, list], room: float, capacity: int) -> dict[int,
     return kept
 
 
-def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.3, refits: tuple[float, ...] = (0.004, 0.008, 0.016, 0.032, 0.064)) -> Plan:
+def plan_packing(counts: dict[int, int], capacity: int = 2048, n_groups: int = 64, small: float = 0.3, refits: tuple[float, ...] = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)) -> Plan:
     """Which lengths share a sequence, from how often each occurs.
 
     Lengths above ``small`` of the capacity are grouped, the rest fill gaps. Then
@@ -390,11 +392,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, sma
     return ranked.transform(map_in_arrow, run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, remember: int = _REMEMBERED, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, text_hash: bool = False, remember: int = _REMEMBERED, **how) -> DataFrame:
     """Token pieces of all ``docs`` (doc_id, text) and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts count as empty (one token); null ids are kept; other columns
-    aren't read. ``remember`` bounds the words that a worker keeps in mind: fewer
+    aren't read. With ``text_hash`` a column says which text a piece is of, for
+    tables in which several texts share a doc_id. ``remember`` bounds the words that a worker keeps in mind: fewer
     take less memory and more time.
     """
-    return pack_pieces(cut(token_pieces(docs, capacity, tokenizer, remember=remember)), capacity, **how)
+    return pack_pieces(cut(token_pieces(docs, capacity, tokenizer, text_hash=text_hash, remember=remember)), capacity, **how)
