@@ -40,9 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences of 2048. Workers that ran the other stages too keep few words in mind."""
+    """Places of all token pieces in sequences of 2048; text_hash tells the texts of a document's passes apart. Workers that ran the other stages too keep few words in mind."""
     bounded_batches(spark)
-    return packing.pack_documents(docs, capacity=2048, remember=100_000)
+    return packing.pack_documents(docs, capacity=2048, text_hash=True, remember=100_000)
 
 
 STAGES = [
