@@ -365,7 +365,7 @@ def _ranked(pieces: DataFrame, lanes: int) -> DataFrame:
     return rows.withColumn("own", own).join(bases, ["length", "lane"]).withColumn("rank", F.col("base") + F.col("own")).drop("lane", "own", "base")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, small: float = 0.3, lanes: int = 256) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, small: float = 0.3, lanes: int | None = None) -> DataFrame:
     """``pieces`` (a stored table with doc_id, piece, length, ids_crc32) with sequence_id and offset.
 
     Sequences hold at most ``capacity`` tokens, without gaps from 0. At most
@@ -375,6 +375,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, n_groups: int = 64, sma
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = plan_packing(counts, capacity, n_groups, small).rows()
+    # a length's rows are dealt to lanes of 2**16 each if all are of one length
+    lanes = lanes or max(256, 1 << (sum(counts.values()) >> 16).bit_length())
     shared = pieces.sparkSession.sparkContext.broadcast((rows, (rows[:, 0] << 44) + rows[:, 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,14 +237,14 @@ def _candidates(classes: DataFrame, words: int, block_bits: int, blocks: int, mo
     return links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).union(same.select("c", "first"))
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_bits: int = 24, blocks: int = 10, most: int = 48, similarity: float = 0.8) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_bits: int | None = None, most: int = 48, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row of the least doc_id stays.
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is
     ``similarity`` or more, so a shingle counts once however often a text
     repeats it; every link is verified by the two sets. Fingerprints of 64 times
-    ``words`` bits propose the first pairs, by ball hashing of ``blocks`` blocks of ``block_bits``: those
-    that differ in ``most`` bits at most. An exact search (prefix filtering) then proposes all
+    ``words`` bits propose the first pairs, by ball hashing of their blocks of ``block_bits`` (by default 24,
+    more from 2**26 texts on, so that chance meetings stay few): those that differ in ``most`` bits at most. An exact search (prefix filtering) then proposes all
     pairs that may be similar enough and aren't in one group yet, so none is
     missed. Nulls in doc_id sort last; of repeated rows one stays; texts without
     words are one group; an empty table gives an empty result. All columns are
@@ -256,7 +256,8 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, words: int = 4, block_
     rows = stored(_sketches(texts, shingle, words))
     one = F.struct("n", "fp", "small", "bits", "doc", "th")
     classes = stored(rows.where("fp is not null").groupBy("c").agg(F.min_by(one, F.struct("doc", "th")).alias("x")).select("c", "x.*"))
-    links = verified(_candidates(classes, words, block_bits, blocks, most), classes, texts, shingle, similarity)
+    bits = block_bits or min(32, max(24, classes.count().bit_length() - 2))
+    links = verified(_candidates(classes, words, bits, 64 * words // bits, most), classes, texts, shingle, similarity)
     near = unlinked(shared_rare(texts, shingle, similarity), classes, components(links), similarity)
     links = links.union(verified(near, classes, texts, shingle, similarity))
     groups = rows.join(components(links), F.col("c") == F.col("node"), "left").select("doc", "th", F.coalesce("label", "c").alias("label"))
