@@ -10,6 +10,7 @@ from ..operators import corpus, metrics, splits, tagging
 from ..operators.features import WindowFeatureBuilder, token_rows
 from ..operators.logistic import sigmoid, sql_steps
 from ..operators.naive_bayes import MulticlassNaiveBayes
+from ..sources.shared import cut
 from . import training
 
 QUERIES: dict = {}
@@ -391,7 +392,8 @@ lik AS (SELECT lang, col, ln(s / sum(s) OVER (PARTITION BY lang)) AS log_prob FR
 
 def _bag_of_documents(spark, d):
     """Words of whole documents, as many as the feature builder takes by default; all documents with a language train."""
-    counts = _tokens(spark, d).groupBy("sentence_id", F.lower("token").alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    # the vocabulary, both checks, the sums and the scores all read the counts
+    counts = cut(_tokens(spark, d).groupBy("sentence_id", F.lower("token").alias("feature")).agg(F.count("*").cast("double").alias("value")))
     top = counts.groupBy("feature").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "feature").limit(WindowFeatureBuilder.max_word_features)
     order = F.row_number().over(Window.orderBy(F.col("df").desc(), "feature"))
     vocab = top.withColumn("column", (order - 1).cast("long")).select("feature", "column")
