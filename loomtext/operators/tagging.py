@@ -67,8 +67,9 @@ def align_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     A token that overlaps two spans has a row for each; ``alignment_errors`` lists
     such tokens, and spans without a token, and ``aligned`` fails on either.
     """
-    s = spans.select(F.col("sentence_id"), F.col("start").alias("s0"), F.col("end").alias("s1"), "label")
-    rows = tokens.join(s, [tokens["sentence_id"] == s["sentence_id"], tokens["start"] < s["s1"], tokens["end"] > s["s0"]], "left").drop(s["sentence_id"])
+    # own names: both tables may come from one, whose columns a join can't tell apart
+    s = spans.select(F.col("sentence_id").alias("sid"), F.col("start").alias("s0"), F.col("end").alias("s1"), "label")
+    rows = tokens.join(s, (F.col("sentence_id") == F.col("sid")) & (F.col("start") < F.col("s1")) & (F.col("end") > F.col("s0")), "left").drop("sid")
     nth = F.row_number().over(Window.partitionBy("sentence_id", "s0").orderBy("token_idx"))
     tag = F.when(F.col("label").isNull(), "O").otherwise(F.concat(F.when(nth == 1, "B-").otherwise("I-"), "label"))
     return rows.withColumn("tag", tag).drop("s0", "s1", "label")
@@ -76,9 +77,11 @@ def align_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 def alignment_errors(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans that no token overlaps, and tokens that more than one span does: (sentence_id, error)."""
-    hit = [tokens["sentence_id"] == spans["sentence_id"], tokens["start"] < spans["end"], tokens["end"] > spans["start"]]
-    lone = spans.join(tokens, hit, "left_anti").select("sentence_id", F.lit("entity without token").alias("error"))
-    twice = tokens.join(spans, hit).groupBy(tokens["sentence_id"], tokens["token_idx"]).count().where("count > 1").select("sentence_id", F.lit("overlapping entities").alias("error"))
+    t = tokens.select("sentence_id", "token_idx", F.col("start").alias("t0"), F.col("end").alias("t1"))
+    s = spans.select(F.col("sentence_id").alias("sid"), F.col("start").alias("s0"), F.col("end").alias("s1"))
+    hit = (F.col("sentence_id") == F.col("sid")) & (F.col("t0") < F.col("s1")) & (F.col("t1") > F.col("s0"))
+    lone = s.join(t, hit, "left_anti").select(F.col("sid").alias("sentence_id"), F.lit("entity without token").alias("error"))
+    twice = t.join(s, hit).groupBy("sentence_id", "token_idx").count().where("count > 1").select("sentence_id", F.lit("overlapping entities").alias("error"))
     return lone.union(twice)
 
 

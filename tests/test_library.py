@@ -176,6 +176,8 @@ def test_corpus_and_job(spark, tmp_path):
     assert examples.count() == 300 and splits.leakage(examples).count() == 0
     assert tagging.bio_violations(tokens).count() == 0 and corpus.tagging_errors(examples).count() == 0
     assert all(r.text[s.start : s.end] == s.value for r in examples.collect() for s in r.spans)
+    tags = {r.tag == "O": r["count"] for r in tokens.withColumn("tag", F.when(F.col("tag") == "O", "O").otherwise("in")).groupBy("tag").count().collect()}
+    assert tags[True] > tags[False] > 0 and tokens.where("sentence_id is null").count() == 0  # words outside entities are kept
     seen = {(r["group"], r.tag) for r in tokens.select("group", "tag").distinct().collect()}
     assert {("clean", "I-PERSON"), ("banglish", "I-PHONE_NUMBER"), ("noisy", "I-ADDRESS"), ("clean", "I-EMAIL"), ("noisy", "I-ORGANIZATION")} <= seen
     rows = corpus.sentences(examples, tokens).join(examples.select("sentence_id", "split"), "sentence_id")
