@@ -12,7 +12,8 @@ merge there into maximal removal intervals.
 Two windows count as equal if their hashes are: among n distinct windows a false
 pair is expected n**2 / 2**81 times (once in 10**8 runs for the 135 million
 windows of half a gigabyte of documents; 300 pairs among the 2.7 * 10**13 of
-100 TB). Rows are told apart by id and a 64-bit hash of their text.
+100 TB). Rows are told apart by id, those of a repeated or no id also by a 64-bit
+hash of their text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, mix64, pack, partitions_for, table, unpack
+from .common import NULL_ID, id_key, mix64, pack, partitions_for, stored, table, unpack
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWER = 0xD6E8FEB86659FD93
@@ -298,8 +299,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
     alike. An empty table gives an empty result; other columns aren't read.
     """
     n = partitions_for(docs)
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
-    rows = docs.select(id_key().alias("id"), tag, F.col("text"), F.col("doc_id").isNull().alias("no_id"))
+    # most ids name one row: the others' rows are told apart by their texts
+    several = stored(docs.groupBy(id_key().alias("of")).agg(F.count("*").alias("m")).where("m > 1 or of = " + str(NULL_ID)).select("of"))
+    tag = F.when(F.col("of").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.coalesce("text", F.lit("")))).alias("tag")
+    rows = docs.select("doc_id", "text", id_key().alias("id")).join(several, F.col("id") == F.col("of"), "left")
+    rows = rows.select("id", tag, "text", F.col("doc_id").isNull().alias("no_id"))
     entries = rows.select("id", "tag", "text").mapInArrow(_count_windows(window, n), _OUT_SQL).repartitionById(n, "part")
     answers = entries.mapInArrow(_find_repeats(n), _OUT_SQL)
     texts = rows.mapInArrow(_send_texts(n), _OUT_SQL)
