@@ -301,10 +301,9 @@ def test_reports_by_group_and_order(spark):
 
 
 def test_alignment_fails_on_bad_spans(spark):
-    text = [(1, "ab cd")]
     tokens = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 3, 5)], "sentence_id long, token_idx int, start int, end int")
     spans = lambda *s: spark.createDataFrame([(1, *x) for x in s], "sentence_id long, start int, end int, label string")
-    assert text and [x.tag for x in tagging.aligned(tokens, spans((0, 5, "A"))).orderBy("token_idx").collect()] == ["B-A", "I-A"]
+    assert [x.tag for x in tagging.aligned(tokens, spans((0, 5, "A"))).orderBy("token_idx").collect()] == ["B-A", "I-A"]
     for bad, what in ((((2, 3, "A"),), "without token"), (((0, 2, "A"), (1, 5, "B")), "overlapping")):
         with pytest.raises(ValueError, match=what):
             tagging.aligned(tokens, spans(*bad))
