@@ -182,14 +182,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     """The mix as documents: doc_id, text, lang, source, n_chars; one row for each document and pass that takes any of it, in order of shards.
 
     A text that a pass takes whole stays as it is; else its taken words, in
-    order, are joined by one space. A row lies where the first shard that takes
-    some of it does; partitions are ranges of shards, rows of a shard lie in
+    order, are joined by one space. A row lies in one of the shards that take
+    some of it, by a hash (the first one would gather all long texts); partitions are ranges of shards, rows of a shard lie in
     pseudorandom order of sources. Nothing is taken of texts without words.
     """
     sizes = cut(sized(docs).repartition(partitions_for(docs, 64 << 20)))
     pieces, n_shards = mix_pieces(sizes, cut(source_targets(sizes, weights, share, cap)), **how)
     key = ["skey", "doc", "th"]
-    spans = pieces.where("hi > lo").withColumn("doc", id_key()).groupBy(*key, "size", "off", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.min("shard").alias("shard"))
+    spans = pieces.where("hi > lo").withColumn("doc", id_key()).groupBy(*key, "size", "off", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.min_by("shard", F.xxhash64("skey", "off", "pass", "lo")).alias("shard"))
     texts = docs.select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), id_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
         F.struct("doc_id", "text", "lang", "source").alias("row"),
