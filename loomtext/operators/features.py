@@ -1,8 +1,8 @@
 """Context-window features of tokens: words, offsets, character n-grams, shapes; vocabulary and weights.
 
 Token rows are (sentence_id, token_idx, token). Neighbours come by ``lag`` and
-``lead``, so no row carries its sentence; document frequency needs no shuffle of
-feature bags, as a token's distinct features are one row's array.
+``lead``, so no row carries its sentence. Document frequency is counted by word:
+features are named once for each different word, not for each token.
 """
 
 from __future__ import annotations
@@ -64,9 +64,32 @@ class WindowFeatureBuilder:
         ngrams = self.char_ngram_range if self.use_char_ngrams else None
         return tokens.select("sentence_id", "token_idx", "token", _names(self.window_size, ngrams).alias("names"))
 
+    def _by_word(self, tokens: DataFrame) -> DataFrame:
+        """(low, near, one column for each offset): rows whose window holds a lower-cased token, and those that have it at the offset.
+
+        A token counts at offset o for the row o before it, if there is one, and within the window for
+        those of the 2 * window_size + 1 rows around it that the same token before it doesn't reach.
+        """
+        w, order = self.window_size, _in_order()
+        tokens, low = tokens.select("sentence_id", "token_idx", F.lower("token").alias("low")), F.col("low")
+        there = {o: F.lag(F.lit(1), o).over(order) for o in range(-w, w + 1) if o}
+        former = F.coalesce(*(F.when(F.lag(low, k).over(order) == low, k) for k in range(1, 2 * w + 1)), F.lit(2 * w + 1))
+        rows = tokens.select("low", former.alias("former"), *(x.alias(f"at{o:+d}") for o, x in there.items()))
+        count = lambda offsets: sum((F.col(f"at{o:+d}").isNotNull().cast("int") for o in offsets), F.lit(0))
+        near = F.greatest(F.lit(0), count(range(-w, 0)) + 1 + F.least(count(range(1, w + 1)), F.col("former") - w - 1))
+        at = {o: F.count(f"at{o:+d}" if o else "*").alias(f"at{o:+d}") for o in range(-w, w + 1)}
+        return rows.where("low is not null").groupBy("low").agg(F.sum(near).alias("near"), *at.values())
+
     def document_frequency(self, tokens: DataFrame) -> DataFrame:
         """(feature, df): tokens whose bag holds the feature."""
-        return self.names(tokens).select(F.explode(F.array_distinct("names")).alias("feature")).groupBy("feature").agg(F.count("*").alias("df"))
+        by_word, w = self._by_word(tokens), self.window_size
+        named = [("word=", "near"), *((f"offset={o:+d}:word=", f"at{o:+d}") for o in range(-w, w + 1))]
+        each = F.array(*(F.struct(F.concat(F.lit(name), F.col("low")).alias("feature"), F.col(c).alias("df")) for name, c in named))
+        df = by_word.select(F.explode(each).alias("x")).select("x.*").where("df > 0")
+        if self.use_char_ngrams:
+            grams = by_word.select(F.explode(F.array_distinct(char_ngrams("low", *self.char_ngram_range))).alias("feature"), F.col("at+0").alias("n"))
+            df = df.unionByName(grams.groupBy("feature").agg(F.sum("n").alias("df")))
+        return df
 
     def fit(self, tokens: DataFrame) -> WindowFeatureBuilder:
         """vocabulary: feature, column, family, df, idf. The most frequent of each family, ties by name; then the shapes."""
@@ -74,15 +97,14 @@ class WindowFeatureBuilder:
         df = self.document_frequency(tokens).where(F.col("df") >= self.min_frequency).withColumn("family", family())
         # tasks keep their best rows only, so no family's tail travels
         best = lambda name, k: df.where(F.col("family") == name).orderBy(F.col("df").desc(), "feature").limit(k)
-        top = best("word", self.max_word_features)
+        # the driver gets max_word_features + max_char_features rows at most, once for all uses
+        top = best("word", self.max_word_features).collect()
         if self.use_char_ngrams:
-            top = top.union(best("char", self.max_char_features))
-        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.col("df").desc(), "feature")))
-        shapes = tokens.sparkSession.createDataFrame([(name, 0, "ortho", i + 1) for i, name in enumerate(ORTHOGRAPHIC)], "feature string, df bigint, family string, rank int")
-        rows = top.select("feature", "df", "family", "rank").unionByName(shapes)
-        order = Window.orderBy(F.when(F.col("family") == "word", 0).when(F.col("family") == "char", 1).otherwise(2), "rank")
+            top += best("char", self.max_char_features).collect()
+        shapes = [(name, 0, "ortho") for name in ORTHOGRAPHIC]
+        rows = tokens.sparkSession.createDataFrame([(*r, i) for i, r in enumerate([*top, *shapes])], "feature string, df bigint, family string, column int")
         idf = F.when(F.col("family") == "ortho", 1.0).otherwise(F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
-        self.vocabulary = rows.select("feature", (F.row_number().over(order) - 1).alias("column"), "family", "df", idf.alias("idf"))
+        self.vocabulary = rows.select("feature", "column", "family", "df", idf.alias("idf"))
         return self
 
     def transform(self, tokens: DataFrame, weighting: str = "count") -> DataFrame:

@@ -104,6 +104,16 @@ def test_window_features(spark):
     assert b.transform(tokens, "tfidf").where("value = 0").count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_are_named_once_a_word(spark):
+    tokens = spark.createDataFrame([(1, 0, "a")], "sentence_id long, token_idx int, token string")
+    plan = _plan(WindowFeatureBuilder().document_frequency(tokens))
+    assert plan.index("Generate") < plan.index("HashAggregate")
+
+
 def test_feature_errors(spark):
     for bad in ({"window_size": -1}, {"char_ngram_range": (0, 2)}, {"char_ngram_range": (4, 3)}):
         with pytest.raises(ValueError):
