@@ -2,7 +2,9 @@
 
 Token rows are (sentence_id, token_idx, token). Neighbours come by ``lag`` and
 ``lead``, so no row carries its sentence. Document frequency is counted by word:
-features are named once for each different word, not for each token.
+features are named once for each different word, not for each token. Rows of
+features are made within a token's row, of column numbers; nothing but the
+tokens is shuffled.
 """
 
 from __future__ import annotations
@@ -107,20 +109,43 @@ class WindowFeatureBuilder:
         self.vocabulary = rows.select("feature", "column", "family", "df", idf.alias("idf"))
         return self
 
-    def transform(self, tokens: DataFrame, weighting: str = "count") -> DataFrame:
+    def _words(self, tokens: DataFrame) -> DataFrame:
+        """(sentence_id, token_idx, column, value) of words. A token takes its columns along, so that neighbours are numbers."""
+        w, order, key = self.window_size, _in_order(), ["sentence_id", "token_idx"]
+        offset = F.when(~F.col("feature").startswith("word="), F.regexp_extract("feature", "^offset=([+-][0-9]+):", 1).cast("int"))
+        word = F.expr("substring(feature, instr(feature, 'word=') + 5)")
+        at = [F.max(F.when(offset == o, F.col("column"))).alias(f"at{o:+d}") for o in range(-w, w + 1)]
+        known = self.vocabulary.where("family = 'word'").groupBy(word.alias("low")).agg(F.max(F.when(offset.isNull(), F.col("column"))).alias("word"), *at)
+        rows = tokens.select(*key, F.lower("token").alias("low")).join(F.broadcast(known), "low", "left")
+        moved = lambda c, o: F.lag(c, -o).over(order) if o else F.col(c)
+        rows = rows.select(*key, *(moved(f"at{o:+d}", o).alias(f"at{o:+d}") for o in range(-w, w + 1)), F.array(*(moved("word", o) for o in range(-w, w + 1))).alias("near"))
+        row = lambda column, value: F.struct(column.alias("column"), value.cast("double").alias("value"))
+        each = [F.when(F.col(f"at{o:+d}").isNotNull(), row(F.col(f"at{o:+d}"), F.lit(1))) for o in range(-w, w + 1)]
+        for i in range(2 * w + 1):
+            x = F.col("near")[i]
+            each.append(F.when(F.array_position("near", x) == i + 1, row(x, F.size("near") - F.size(F.array_remove("near", x)))))
+        return rows.select(*key, F.explode(F.array(*each)).alias("x")).where("x is not null").select(*key, "x.*")
+
+    def transform(self, tokens: DataFrame, weighting: str = "count", shapes: bool = True) -> DataFrame:
+        """(sentence_id, token_idx, column, feature, value); without ``shapes`` those of words and character n-grams only."""
         if self.vocabulary is None:
             raise RuntimeError("fit first")
         if weighting not in ("count", "tfidf"):
             raise ValueError("weighting is count or tfidf")
         # the vocabulary holds max_word_features + max_char_features + 6 rows at most
-        known = F.broadcast(self.vocabulary.select("feature", "column", "idf"))
-        named = self.names(tokens).select("sentence_id", "token_idx", F.explode("names").alias("feature"))
-        counts = named.join(known, "feature").groupBy("sentence_id", "token_idx", "feature", "column", "idf").agg(F.count("*").cast("double").alias("value"))
-        shapes = tokens.select("sentence_id", "token_idx", *orthographic("token"))
-        shapes = shapes.select("sentence_id", "token_idx", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in ORTHOGRAPHIC))).alias("x")).select("sentence_id", "token_idx", "x.feature", "x.value")
-        rows = counts.unionByName(shapes.where("value <> 0").join(known, "feature"))
+        key, known = ["sentence_id", "token_idx"], F.broadcast(self.vocabulary.select("feature", "column", "idf"))
+        rows = self._words(tokens).join(known, "column")
+        if self.use_char_ngrams:
+            grams = tokens.select(*key, char_ngrams("token", *self.char_ngram_range).alias("grams"))
+            grams = grams.select(*key, "grams", F.explode(F.array_distinct("grams")).alias("feature")).join(known, "feature")
+            value = F.size("grams") - F.size(F.array_remove("grams", F.col("feature")))
+            rows = rows.unionByName(grams.select(*key, "feature", "column", "idf", value.cast("double").alias("value")))
+        if shapes:
+            x = tokens.select(*key, *orthographic("token"))
+            x = x.select(*key, F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in ORTHOGRAPHIC))).alias("x")).select(*key, "x.feature", "x.value")
+            rows = rows.unionByName(x.where("value <> 0").join(known, "feature"))
         value = F.col("value") * F.col("idf") if weighting == "tfidf" else F.col("value")
-        return rows.select("sentence_id", "token_idx", "column", "feature", value.alias("value"))
+        return rows.select(*key, "column", "feature", value.alias("value"))
 
-    def fit_transform(self, tokens: DataFrame, weighting: str = "count") -> DataFrame:
-        return self.fit(tokens).transform(tokens, weighting)
+    def fit_transform(self, tokens: DataFrame, weighting: str = "count", shapes: bool = True) -> DataFrame:
+        return self.fit(tokens).transform(tokens, weighting, shapes)

@@ -232,15 +232,15 @@ def doc_freq(spark, d):
 
 @query(f"WITH {_BAG} SELECT feature, total::DOUBLE AS total, df AS n_rows FROM vocab")
 def features_count(spark, d):
-    tokens = _tokens(spark, d)
-    rows = WindowFeatureBuilder().fit_transform(tokens).where("feature not like 'ortho:%'")
+    rows = WindowFeatureBuilder().fit_transform(_tokens(spark, d), shapes=False)
     return rows.groupBy("feature").agg(F.sum("value").alias("total"), F.count("*").alias("n_rows"))
 
 
 @query(f"WITH {_BAG} SELECT feature, round(total * idf, 4) AS total FROM vocab")
 def features_tfidf(spark, d):
-    rows = WindowFeatureBuilder().fit_transform(_tokens(spark, d), "tfidf").where("feature not like 'ortho:%'")
-    return rows.groupBy("feature").agg(F.round(F.sum("value"), 4).alias("total"))
+    # a feature has few different values: sums of them don't add up the errors of millions of rows
+    rows = WindowFeatureBuilder().fit_transform(_tokens(spark, d), "tfidf", shapes=False).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return rows.groupBy("feature").agg(F.round(F.sum(F.col("value") * F.col("n")), 4).alias("total"))
 
 
 @query(

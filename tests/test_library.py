@@ -2,6 +2,9 @@
 
 import json
 import math
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -104,6 +107,36 @@ def test_window_features(spark):
     assert b.transform(tokens, "tfidf").where("value = 0").count() == 0
 
 
+def _bags(sentences, window):
+    low = [[t.lower() for t in s] for s in sentences]
+    for s, own in enumerate(low):
+        for i, token in enumerate(own):
+            bag = Counter(f"char{n}={x[p : p + n]}" for x in [f"^{token}$"] for n in (3, 4) for p in range(len(x) - n + 1))
+            for o in range(-window, window + 1):
+                if 0 <= i + o < len(own):
+                    bag.update([f"word={own[i + o]}", f"offset={o:+d}:word={own[i + o]}"])
+            yield (s, i), bag
+
+
+@pytest.mark.parametrize("window", [0, 1, 2, 3])
+def test_features_by_brute_force(spark, window):
+    draw = random.Random(window)
+    sentences = [[draw.choice(["a", "B", "b", "word=a", "offset=+1:word=b", "\u0130\u2028x", "aaaaa"]) for _ in range(n)] for n in (0, 1, 2, 3, 5, 8, 13, 21)]
+    tokens = spark.createDataFrame([(s, 7 * i, t) for s, own in enumerate(sentences) for i, t in enumerate(own)], "sentence_id long, token_idx int, token string").repartition(3)
+    bags = {(s, 7 * i): bag for (s, i), bag in _bags(sentences, window)}
+    df = Counter(x for bag in bags.values() for x in bag)
+    b = WindowFeatureBuilder(window_size=window, use_char_ngrams=True, min_frequency=2)
+    got = b.document_frequency(tokens).collect()
+    assert len(got) == len(df) and {r.feature: r.df for r in got} == df
+    rows = b.fit(tokens).transform(tokens, shapes=False).collect()
+    want = {(*at, x): c for at, bag in bags.items() for x, c in bag.items() if df[x] >= 2}
+    assert len(rows) == len(want) and {(r.sentence_id, r.token_idx, r.feature): r.value for r in rows} == want
+    names = {r.column: (r.feature, r.idf) for r in b.vocabulary.collect()}
+    assert all(names[r.column][0] == r.feature for r in rows)
+    shaped = b.transform(tokens, "tfidf")
+    assert {(r.sentence_id, r.token_idx, r.feature): r.value for r in shaped.collect() if not r.feature.startswith("ortho:")} == {k: c * next(i for f, i in names.values() if f == k[2]) for k, c in want.items()}
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -114,6 +147,14 @@ def test_features_are_named_once_a_word(spark):
     assert plan.index("Generate") < plan.index("HashAggregate")
 
 
+def test_feature_rows_are_not_shuffled(spark):
+    tokens = spark.createDataFrame([(1, 0, "a")] * 2, "sentence_id long, token_idx int, token string")
+    b = WindowFeatureBuilder(use_char_ngrams=True).fit(tokens)
+    b.vocabulary = spark.createDataFrame(b.vocabulary.collect(), b.vocabulary.schema)
+    shuffles = re.findall(r"Exchange hashpartitioning\(.*", _plan(b.transform(tokens)))
+    assert shuffles and not any("feature" in x or "token_idx" in x for x in shuffles)
+
+
 def test_feature_errors(spark):
     for bad in ({"window_size": -1}, {"char_ngram_range": (0, 2)}, {"char_ngram_range": (4, 3)}):
         with pytest.raises(ValueError):
