@@ -9,8 +9,11 @@ from __future__ import annotations
 import functools
 import html
 import unicodedata
+from array import array
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -117,19 +120,22 @@ def words(c) -> Column:
     return F.filter(F.split(_col(c), "[ \\t\\n\\x0B\\f\\r]+"), lambda t: t != "")
 
 
-@F.pandas_udf(ArrayType(StructType().add("token", StringType()).add("start", IntegerType()).add("end", IntegerType())))
-def _offsets(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-    def of(text, own):
-        if text is None or own is None:
-            return None
-        out, end = [], 0
-        for token in own:
+@F.arrow_udf(ArrayType(StructType().add("token", StringType()).add("start", IntegerType()).add("end", IntegerType())))
+def _offsets(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    # one row's strings at a time: the batch's tokens stay as they came, and only numbers are added
+    null = pc.or_(pc.is_null(texts), pc.is_null(tokens))
+    starts, ends, sizes = array("i"), array("i"), array("i", [0])
+    for text, own in zip(texts, tokens, strict=True):
+        text, end = text.as_py(), 0
+        for token in own.as_py() or [] if text is not None else []:
             start = text.find(token, end)
             end = start + len(token)
-            out.append({"token": token, "start": start, "end": end})
-        return out
-
-    return pd.Series([of(t, w) for t, w in zip(texts, tokens, strict=True)], dtype=object)
+            starts.append(start)
+            ends.append(end)
+        sizes.append(len(starts))
+    held = tokens.filter(pc.invert(null)).flatten()
+    rows = pa.StructArray.from_arrays([held, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows, mask=null)
 
 
 def offsets(text, tokens) -> Column:

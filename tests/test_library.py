@@ -4,9 +4,11 @@ import json
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +321,19 @@ def test_offsets_of_long_texts(spark):
     assert _one(spark, None, lambda c: T.offsets(c, T.words(c))) is None
 
 
+def test_offsets_make_no_object_for_each_token():
+    texts = pa.array(["a bb  a", None, "x", "", "\U0001f600 a b"] + ["ab " * 20] * 20_000)
+    tokens = pa.array([["a", "bb", "a"], ["z"], None, [], ["\U0001f600", "b"]] + [["ab"] * 20] * 20_000)
+    tracemalloc.start()
+    got = T._offsets.func(texts, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = lambda row: row and [(x["token"], x["start"], x["end"]) for x in row]
+    assert [at(x) for x in got[:5].to_pylist()] == [[("a", 0, 1), ("bb", 2, 4), ("a", 6, 7)], None, None, [], [("\U0001f600", 0, 1), ("b", 4, 5)]]
+    assert at(got[-1].as_py()) == [("ab", 3 * i, 3 * i + 2) for i in range(20)]
+    assert peak < 40 * 400_000  # bytes for each token; a dict of each takes some hundreds
+
+
 def test_vocabulary_as_a_column(spark):
     df = spark.createDataFrame([("fone", ["PHONE", "Phone", "bone"])], "t string, v array<string>")
     assert df.select(T.correct_token("t", F.col("v")).alias("x")).first().x == "bone"
