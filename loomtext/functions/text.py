@@ -117,7 +117,7 @@ def treebank(c) -> Column:
 
 def words(c) -> Column:
     """Runs that aren't ASCII white space."""
-    return F.filter(F.split(_col(c), "[ \\t\\n\\x0B\\f\\r]+"), lambda t: t != "")
+    return F.array_remove(F.split(_col(c), "[ \\t\\n\\x0B\\f\\r]+"), "")
 
 
 @F.arrow_udf(ArrayType(StructType().add("token", StringType()).add("start", IntegerType()).add("end", IntegerType())))

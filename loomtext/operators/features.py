@@ -1,16 +1,21 @@
 """Context-window features of tokens: words, offsets, character n-grams, shapes; vocabulary and weights.
 
-Token rows are (sentence_id, token_idx, token). Neighbours come by ``lag`` and
-``lead``, so no row carries its sentence. Document frequency is counted by word:
-features are named once for each different word, not for each token. Rows of
-features are made within a token's row, of column numbers; nothing but the
-tokens is shuffled.
+Tokens come as rows (sentence_id, token_idx, token), or as sentences (sentence_id,
+tokens), which spares gathering them; a column ``low`` spares lowering them. Document frequency is counted by word:
+features are named once for each different word of a batch, not for each token.
+Rows of features are column numbers, made from whole sentences in Arrow
+batches; nothing but the tokens is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +26,44 @@ def _in_order():
     return Window.partitionBy("sentence_id").orderBy("token_idx")
 
 
-def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """(sentence_id, token_idx, token) of white-space tokens. The table is dealt out first: one file must not mean one task."""
+def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(sentence_id, tokens, low) of white-space tokens, ``low`` in lower case. The table is dealt out first: one file must not mean one task."""
     rows = docs.select(F.col(key).alias("sentence_id"), F.col(text).alias("text"))
     rows = rows.repartition(partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sentence_id")
-    return rows.select("sentence_id", F.posexplode(words("text")).alias("token_idx", "token"))
+    return rows.select("sentence_id", words("text").alias("tokens"), words(F.lower("text")).alias("low"))
+
+
+def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(sentence_id, token_idx, token) of white-space tokens."""
+    return _rows(sentence_rows(docs, key, text, partitions))
+
+
+def _rows(tokens: DataFrame) -> DataFrame:
+    """Token rows of either form."""
+    return tokens.select("sentence_id", F.posexplode("tokens").alias("token_idx", "token")) if "tokens" in tokens.columns else tokens
+
+
+def _sentences(tokens: DataFrame) -> DataFrame:
+    """(sentence_id, low) of either form, and the given numbers of the tokens, ``at``, if there are any."""
+    if "tokens" in tokens.columns:
+        return tokens.select("sentence_id", "low" if "low" in tokens.columns else F.transform("tokens", F.lower).alias("low"))
+    rows = tokens.select("sentence_id", F.struct("token_idx", F.lower("token").alias("low")).alias("x"))
+    return rows.groupBy("sentence_id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("sentence_id", "x.low", F.col("x.token_idx").alias("at"))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], most: int = 1 << 18):
+    """(rows, different words, codes, places from the start and from the end, sentences) of runs of sentences with about ``most`` tokens. A null's code is the number of words."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("low")).fill_null(0).to_numpy().astype(np.int64)
+        ends, begin = np.cumsum(sizes), 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + most, "right")))
+            part, own = batch.slice(begin, end - begin), sizes[begin:end]
+            begin = end
+            coded = part.column("low").flatten().dictionary_encode()
+            place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            yield part, coded.dictionary, codes, place, np.repeat(own, own) - 1 - place, np.repeat(np.arange(len(own)), own)
 
 
 def _names(window: int, ngrams: tuple[int, int] | None):
@@ -64,7 +102,7 @@ class WindowFeatureBuilder:
 
     def names(self, tokens: DataFrame) -> DataFrame:
         ngrams = self.char_ngram_range if self.use_char_ngrams else None
-        return tokens.select("sentence_id", "token_idx", "token", _names(self.window_size, ngrams).alias("names"))
+        return _rows(tokens).select("sentence_id", "token_idx", "token", _names(self.window_size, ngrams).alias("names"))
 
     def _by_word(self, tokens: DataFrame) -> DataFrame:
         """(low, near, one column for each offset): rows whose window holds a lower-cased token, and those that have it at the offset.
@@ -72,30 +110,36 @@ class WindowFeatureBuilder:
         A token counts at offset o for the row o before it, if there is one, and within the window for
         those of the 2 * window_size + 1 rows around it that the same token before it doesn't reach.
         """
-        w, order = self.window_size, _in_order()
-        tokens, low = tokens.select("sentence_id", "token_idx", F.lower("token").alias("low")), F.col("low")
-        there = {o: F.lag(F.lit(1), o).over(order) for o in range(-w, w + 1) if o}
-        former = F.coalesce(*(F.when(F.lag(low, k).over(order) == low, k) for k in range(1, 2 * w + 1)), F.lit(2 * w + 1))
-        rows = tokens.select("low", former.alias("former"), *(x.alias(f"at{o:+d}") for o, x in there.items()))
-        count = lambda offsets: sum((F.col(f"at{o:+d}").isNotNull().cast("int") for o in offsets), F.lit(0))
-        near = F.greatest(F.lit(0), count(range(-w, 0)) + 1 + F.least(count(range(1, w + 1)), F.col("former") - w - 1))
-        at = {o: F.count(f"at{o:+d}" if o else "*").alias(f"at{o:+d}") for o in range(-w, w + 1)}
-        return rows.where("low is not null").groupBy("low").agg(F.sum(near).alias("near"), *at.values())
+        w = self.window_size
+        names = ["near", *(f"at{o:+d}" for o in range(-w, w + 1))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, known, codes, before, after, _ in _coded(batches):
+                former = np.full(len(codes), 2 * w + 1)
+                for k in range(2 * w, 0, -1):
+                    former[k:][(codes[k:] == codes[:-k]) & (before[k:] >= k)] = k
+                near = np.maximum(0, np.minimum(after, w) + 1 + np.minimum(np.minimum(before, w), former - w - 1))
+                count = lambda x: pa.array(np.bincount(codes, x, len(known))[: len(known)].astype(np.int64))  # noqa: B023, E731
+                at = [count(before >= o if o > 0 else after >= -o) for o in range(-w, w + 1)]
+                yield pa.RecordBatch.from_arrays([known, count(near), *at], ["low", *names])
+
+        rows = _sentences(tokens).select("low").mapInArrow(run, "low string, " + ", ".join(f"`{c}` bigint" for c in names))
+        return rows.groupBy("low").agg(*(F.sum(f"`{c}`").alias(c) for c in names))
 
     def document_frequency(self, tokens: DataFrame) -> DataFrame:
         """(feature, df): tokens whose bag holds the feature."""
-        by_word, w = self._by_word(tokens), self.window_size
+        by_word, w = self._by_word(tokens).where("low is not null"), self.window_size
         named = [("word=", "near"), *((f"offset={o:+d}:word=", f"at{o:+d}") for o in range(-w, w + 1))]
-        each = F.array(*(F.struct(F.concat(F.lit(name), F.col("low")).alias("feature"), F.col(c).alias("df")) for name, c in named))
+        each = F.array(*(F.struct(F.concat(F.lit(name), F.col("low")).alias("feature"), F.col(f"`{c}`").alias("df")) for name, c in named))
         df = by_word.select(F.explode(each).alias("x")).select("x.*").where("df > 0")
         if self.use_char_ngrams:
-            grams = by_word.select(F.explode(F.array_distinct(char_ngrams("low", *self.char_ngram_range))).alias("feature"), F.col("at+0").alias("n"))
+            grams = by_word.select(F.explode(F.array_distinct(char_ngrams("low", *self.char_ngram_range))).alias("feature"), F.col("`at+0`").alias("n"))
             df = df.unionByName(grams.groupBy("feature").agg(F.sum("n").alias("df")))
         return df
 
     def fit(self, tokens: DataFrame) -> WindowFeatureBuilder:
         """vocabulary: feature, column, family, df, idf. The most frequent of each family, ties by name; then the shapes."""
-        n = tokens.count()
+        n = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0 if "tokens" in tokens.columns else tokens.count()
         df = self.document_frequency(tokens).where(F.col("df") >= self.min_frequency).withColumn("family", family())
         # tasks keep their best rows only, so no family's tail travels
         best = lambda name, k: df.where(F.col("family") == name).orderBy(F.col("df").desc(), "feature").limit(k)
@@ -110,21 +154,49 @@ class WindowFeatureBuilder:
         return self
 
     def _words(self, tokens: DataFrame) -> DataFrame:
-        """(sentence_id, token_idx, column, value) of words. A token takes its columns along, so that neighbours are numbers."""
-        w, order, key = self.window_size, _in_order(), ["sentence_id", "token_idx"]
-        offset = F.when(~F.col("feature").startswith("word="), F.regexp_extract("feature", "^offset=([+-][0-9]+):", 1).cast("int"))
-        word = F.expr("substring(feature, instr(feature, 'word=') + 5)")
-        at = [F.max(F.when(offset == o, F.col("column"))).alias(f"at{o:+d}") for o in range(-w, w + 1)]
-        known = self.vocabulary.where("family = 'word'").groupBy(word.alias("low")).agg(F.max(F.when(offset.isNull(), F.col("column"))).alias("word"), *at)
-        rows = tokens.select(*key, F.lower("token").alias("low")).join(F.broadcast(known), "low", "left")
-        moved = lambda c, o: F.lag(c, -o).over(order) if o else F.col(c)
-        rows = rows.select(*key, *(moved(f"at{o:+d}", o).alias(f"at{o:+d}") for o in range(-w, w + 1)), F.array(*(moved("word", o) for o in range(-w, w + 1))).alias("near"))
-        row = lambda column, value: F.struct(column.alias("column"), value.cast("double").alias("value"))
-        each = [F.when(F.col(f"at{o:+d}").isNotNull(), row(F.col(f"at{o:+d}"), F.lit(1))) for o in range(-w, w + 1)]
-        for i in range(2 * w + 1):
-            x = F.col("near")[i]
-            each.append(F.when(F.array_position("near", x) == i + 1, row(x, F.size("near") - F.size(F.array_remove("near", x)))))
-        return rows.select(*key, F.explode(F.array(*each)).alias("x")).where("x is not null").select(*key, "x.*")
+        """(sentence_id, token_idx, column, value) of words."""
+        w, index, columns = self.window_size, {}, []
+        for r in self.vocabulary.where("family = 'word'").select("feature", "column").collect():
+            offset, word = re.fullmatch("(?s)(?:offset=([+-][0-9]+):)?word=(.*)", r["feature"]).groups()
+            columns.append((index.setdefault(word, len(index)), 0 if offset is None else int(offset) + w + 1, r["column"]))
+        table = np.full((len(index) + 1, 2 * w + 2), -1, np.int32)
+        for row, slot, column in columns:
+            table[row, slot] = column
+        shared = tokens.sparkSession.sparkContext.broadcast((index, table))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, table = shared.value
+            for part, known, codes, before, after, sentence in _coded(batches):
+                own = table[np.array([index.get(x, -1) for x in known.to_pylist()] + [-1])][codes]
+
+                def moved(slot: int, o: int) -> np.ndarray:
+                    x, out = own[:, slot], np.full(len(own), -1, np.int32)  # noqa: B023
+                    if o >= 0:
+                        out[: max(0, len(x) - o)] = x[o:]
+                        out[after < o] = -1  # noqa: B023
+                    else:
+                        out[-o:] = x[:o]
+                        out[before < -o] = -1  # noqa: B023
+                    return out
+
+                found = []
+                for o in range(-w, w + 1):
+                    x = moved(o + w + 1, o)
+                    rows = np.flatnonzero(x >= 0)
+                    found.append((rows, x[rows], np.ones(len(rows))))
+                near = [moved(0, o) for o in range(-w, w + 1)]
+                for i, x in enumerate(near):
+                    first = x >= 0
+                    for y in near[:i]:
+                        first &= x != y
+                    rows = np.flatnonzero(first)
+                    found.append((rows, x[rows], sum((y[rows] == x[rows]).astype(float) for y in near)))
+                rows, column, value = map(np.concatenate, zip(*found, strict=True))
+                at = part.column("at").flatten().take(pa.array(rows)) if "at" in part.schema.names else pa.array(before[rows].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("sentence_id").take(pa.array(sentence[rows])), at, pa.array(column), pa.array(value)], ["sentence_id", "token_idx", "column", "value"])
+
+        kinds = dict(_rows(tokens).dtypes)
+        return _sentences(tokens).mapInArrow(run, f"sentence_id {kinds['sentence_id']}, token_idx {kinds['token_idx']}, column int, value double")
 
     def transform(self, tokens: DataFrame, weighting: str = "count", shapes: bool = True) -> DataFrame:
         """(sentence_id, token_idx, column, feature, value); without ``shapes`` those of words and character n-grams only."""
@@ -134,7 +206,7 @@ class WindowFeatureBuilder:
             raise ValueError("weighting is count or tfidf")
         # the vocabulary holds max_word_features + max_char_features + 6 rows at most
         key, known = ["sentence_id", "token_idx"], F.broadcast(self.vocabulary.select("feature", "column", "idf"))
-        rows = self._words(tokens).join(known, "column")
+        rows, tokens = self._words(tokens).join(known, "column"), _rows(tokens)
         if self.use_char_ngrams:
             grams = tokens.select(*key, char_ngrams("token", *self.char_ngram_range).alias("grams"))
             grams = grams.select(*key, "grams", F.explode(F.array_distinct("grams")).alias("feature")).join(known, "feature")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, metrics, splits, tagging
-from ..operators.features import WindowFeatureBuilder, token_rows
+from ..operators.features import WindowFeatureBuilder, sentence_rows, token_rows
 from ..operators.logistic import sigmoid, sql_steps
 from ..operators.naive_bayes import MulticlassNaiveBayes
 from ..sources.shared import cut
@@ -35,6 +35,10 @@ def _tokens(spark, d) -> DataFrame:
     return token_rows(_read(spark, d, "documents"))
 
 
+def _sentences(spark, d) -> DataFrame:
+    return sentence_rows(_read(spark, d, "documents"))
+
+
 def _hash(*columns):
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
 
@@ -221,25 +225,25 @@ vocab AS (SELECT *, row_number() OVER (ORDER BY df DESC, feature) - 1 AS col, ln
 
 @query(f'WITH {_BAG} SELECT feature, col AS "column", df, round(idf, 6) AS idf FROM vocab')
 def vocab_topk(spark, d):
-    vocabulary = WindowFeatureBuilder().fit(_tokens(spark, d)).vocabulary
+    vocabulary = WindowFeatureBuilder().fit(_sentences(spark, d)).vocabulary
     return vocabulary.where("family <> 'ortho'").select("feature", F.col("column").cast("long").alias("column"), "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BAG} SELECT feature, df FROM df")
 def doc_freq(spark, d):
-    return WindowFeatureBuilder().document_frequency(_tokens(spark, d)).where("df >= 2")
+    return WindowFeatureBuilder().document_frequency(_sentences(spark, d)).where("df >= 2")
 
 
 @query(f"WITH {_BAG} SELECT feature, total::DOUBLE AS total, df AS n_rows FROM vocab")
 def features_count(spark, d):
-    rows = WindowFeatureBuilder().fit_transform(_tokens(spark, d), shapes=False)
+    rows = WindowFeatureBuilder().fit_transform(_sentences(spark, d), shapes=False)
     return rows.groupBy("feature").agg(F.sum("value").alias("total"), F.count("*").alias("n_rows"))
 
 
 @query(f"WITH {_BAG} SELECT feature, round(total * idf, 4) AS total FROM vocab")
 def features_tfidf(spark, d):
     # a feature has few different values: sums of them don't add up the errors of millions of rows
-    rows = WindowFeatureBuilder().fit_transform(_tokens(spark, d), "tfidf", shapes=False).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    rows = WindowFeatureBuilder().fit_transform(_sentences(spark, d), "tfidf", shapes=False).groupBy("feature", "value").agg(F.count("*").alias("n"))
     return rows.groupBy("feature").agg(F.round(F.sum(F.col("value") * F.col("n")), 4).alias("total"))
 
 
