@@ -139,7 +139,7 @@ class WindowFeatureBuilder:
 
     def fit(self, tokens: DataFrame) -> WindowFeatureBuilder:
         """vocabulary: feature, column, family, df, idf. The most frequent of each family, ties by name; then the shapes."""
-        n = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0 if "tokens" in tokens.columns else tokens.count()
+        n = tokens.agg(F.sum(F.array_size("tokens"))).first()[0] or 0 if "tokens" in tokens.columns else tokens.count()
         df = self.document_frequency(tokens).where(F.col("df") >= self.min_frequency).withColumn("family", family())
         # tasks keep their best rows only, so no family's tail travels
         best = lambda name, k: df.where(F.col("family") == name).orderBy(F.col("df").desc(), "feature").limit(k)

@@ -16,7 +16,7 @@ import __spark_entry__ as entry
 from loomtext.functions import text as T
 from loomtext.functions.porter import stem
 from loomtext.operators import corpus, metrics, splits, tagging
-from loomtext.operators.features import WindowFeatureBuilder
+from loomtext.operators.features import WindowFeatureBuilder, sentence_rows, token_rows
 from loomtext.operators.logistic import BinaryLogisticRegression, sparse_rows
 from loomtext.operators.naive_bayes import MulticlassNaiveBayes
 from loomtext.plans import jobs, training
@@ -139,6 +139,21 @@ def test_features_by_brute_force(spark, window):
     assert {(r.sentence_id, r.token_idx, r.feature): r.value for r in shaped.collect() if not r.feature.startswith("ortho:")} == {k: c * next(i for f, i in names.values() if f == k[2]) for k, c in want.items()}
 
 
+def test_features_of_sentences_are_those_of_rows(spark):
+    docs = spark.createDataFrame([(1, "A b\ta  b"), (2, None), (3, " \n"), (4, "b"), (5, "\u0391\u03a3 x \u0130")], "doc_id long, text string")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = []
+        for tokens in (sentence_rows(docs), token_rows(docs), sentence_rows(docs).drop("low")):
+            b = WindowFeatureBuilder(min_frequency=1, use_char_ngrams=True)
+            rows = b.fit_transform(tokens, "tfidf").collect()
+            got.append((sorted(b.vocabulary.collect()), sorted((r.sentence_id, r.token_idx, r.column, r.feature, round(r.value, 9)) for r in rows)))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    assert got[0] == got[1] == got[2] and len(got[0][1]) > 50
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
